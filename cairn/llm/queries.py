@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import bpe, quality_rules, token_counts
+from cairn.llm import bpe, language_id, quality_classifier, quality_rules, token_counts, toxicity
+from cairn.llm.common import fold
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -13,6 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_fold(rows: DataFrame, n: int, out: int) -> DataFrame:
+    """rows with held_out (fold n is `out`) behind doc_id."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.select("doc_id", (fold(F.col("doc_id"), n) == out).alias("held_out"), *rest)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ranker = quality_classifier.fit(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    return with_fold(quality_classifier.score(docs, ranker), 4, 2)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    network = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return with_fold(toxicity.score(docs, network), 5, 0)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.fit(docs.where(fold(F.col("doc_id"), 3) != 1))
+    return with_fold(language_id.predict(docs, profiles), 3, 1)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, ids=False)
 
@@ -26,9 +52,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op4_toxicity": op4_toxicity,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
 
 OP8_SQL = r"""
