@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, language_id, quality_classifier, quality_rules, token_counts, toxicity
+from cairn.llm import bpe, html_text, language_id, quality_classifier, quality_rules, token_counts, toxicity
 from cairn.llm.common import fold
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -39,6 +39,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(language_id.predict(docs, profiles), 3, 1)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, ids=False)
 
@@ -54,6 +58,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_toxicity": op4_toxicity,
+    "op5_html_text": op5_html_text,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
