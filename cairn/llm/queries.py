@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, html_text, language_id, ngram_join, quality_classifier, quality_rules, token_counts, toxicity
+from cairn.llm import bpe, decontamination, html_text, language_id, ngram_join, quality_classifier, quality_rules, token_counts, toxicity
 from cairn.llm.common import fold
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -47,6 +47,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, ids=False)
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op4_toxicity": op4_toxicity,
     "op5_html_text": op5_html_text,
+    "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
@@ -93,6 +98,32 @@ WITH d AS (
 SELECT *, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * n_symbols > n_words OR 20 * n_dup_lines > n_words) AS kept FROM b
 """
 
+OP6_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM words
+), windows AS (
+  SELECT id, least(len(a), 10) AS n, unnest(range(1, greatest(len(a) - 9, 1) + 1)) AS i, a FROM w WHERE kind = 'b' AND len(a) > 0
+), phrases AS (
+  SELECT DISTINCT id AS item_id, n, array_to_string(a[i:i + n - 1], ' ') AS p FROM windows
+), sizes AS (
+  SELECT DISTINCT n FROM phrases
+), spots AS (
+  SELECT id, n, unnest(range(1, len(a) - n + 2)) AS i, a FROM w, sizes WHERE kind = 'd' AND len(a) >= n
+), found AS (
+  SELECT s.id, s.n, s.i, p.item_id FROM (SELECT id, n, i, array_to_string(a[i:i + n - 1], ' ') AS p FROM spots) s JOIN phrases p USING (n, p)
+), hit AS (
+  SELECT id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT id, unnest(range(i, i + n)) AS k FROM found) GROUP BY id
+), items AS (
+  SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item_id::VARCHAR AS item FROM found) GROUP BY id
+)
+SELECT w.id AS doc_id, len(a)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit USING (id) LEFT JOIN items USING (id) WHERE kind = 'd'
+"""
+
 ORACLE_SQL = {
+    "op6_decontamination": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
 }
