@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontamination, html_text, language_id, ngram_join, quality_classifier, quality_rules, token_counts, toxicity
+from cairn.llm import bpe, decontamination, html_text, language_id, ngram_join, quality_classifier, quality_rules, token_counts, toxicity, warc
 from cairn.llm.common import fold
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -31,6 +31,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     network = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
@@ -66,6 +70,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
+    "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_html_text": op5_html_text,
     "op6_decontamination": op6_decontamination,
