@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,3 +147,14 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """The rows of docs, all columns, predicted good; only texts go to Python."""
+
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series(ranker.scores(np.array([features(x) for x in t], float).reshape(-1, len(MEASURES))))
+
+    return docs.where(scored(docs["text"]) >= CUT)
