@@ -97,7 +97,7 @@ def fit(docs: DataFrame, profile_size: int = 400, flush_grams: int = 300_000, mo
 
     Tasks count the n-grams of their own rows by language, sums are combined before they shuffle, and only
     profile_size n-grams of each language reach the driver; more than most_languages of these are an error,
-    as the profiles are sent to every task. Ties go to the n-gram that sorts first.
+    as the profiles are sent to every task. Ties go to the shorter n-gram, then to the one that sorts first, as in documents.
     """
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, profile_size: int = 400, flush_grams: int = 300_000, mo
 
     counted = docs.select("text", "lang").where("text is not null and lang is not null").mapInArrow(run, "lang string, gram string, n long")
     sums = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.length("gram"), "gram")
     top = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile_size)
     rows = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("grams")).limit(most_languages + 1).collect()
     if len(rows) > most_languages:
