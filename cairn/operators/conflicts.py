@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.tables import written
+
 #: The resource types in which keys can conflict, those enabled at first, and the group that is local to a file.
 CONFLICT_TYPES = ("BCON", "BHAV", "CTSS", "GLOB", "GZPS", "OBJD", "OBJF", "SLOT", "STR", "TPRP", "TRCN", "TTAB", "TTAS", "VERS")
 DEFAULT_ENABLED = tuple(t for t in CONFLICT_TYPES if t not in ("CTSS", "TPRP", "TRCN", "VERS"))
@@ -77,13 +79,15 @@ def progress(files: DataFrame, order: Sequence[str]) -> DataFrame:
 def positions(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """rows numbered from 1 in an order over all of them.
 
-    The rows are range-partitioned and sorted; each partition is counted, and its rows are numbered from
-    where the partitions before it end, so that no task holds all rows.
+    The rows are range-partitioned, sorted and written with their place in their partition; a row's number is
+    that place and the rows of all partitions before. No task holds all rows, and only the partitions' counts are broadcast.
     """
     by = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
-    joined = numbered.join(F.broadcast(before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part")
-    return joined.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+    # the id's lower 33 bits count a partition's rows, the others are the partition
+    ranged = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranged.groupBy(part).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    joined = ranged.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(starts), "_part")
+    return joined.withColumn(name, (F.col("_before") + at + 1).cast("long")).drop("_part", "_id", "_before")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-from tempfile import mkdtemp
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.tables import written
+
 
 def goto_edges(rows: DataFrame, node: str, true: Column, false: Column) -> DataFrame:
     """src, dst, on_true for each target that is an instruction; null targets end the flow."""
@@ -21,19 +20,9 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     Each round joins only what the last one found; found nodes are written to the shared checkpoint folder, so
     that neither lineage nor a lost executor makes a round run twice.
     """
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp()
-    folder = f"{base.rstrip('/')}/reach-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    seen = new = kept(start.select("node").distinct(), "0")
-    i = 0
+    seen = new = written(start.select("node").distinct())
     while not new.isEmpty():
-        i += 1
         step = edges.join(new, edges["src"] == new["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        new = kept(step.join(seen, "node", "left_anti"), f"new-{i}")
-        seen = kept(seen.unionByName(new), f"seen-{i}")
+        new = written(step.join(seen, "node", "left_anti"))
+        seen = written(seen.unionByName(new))
     return seen

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from tempfile import mkdtemp
-
 from pyspark.sql import functions as F
 
 from cairn.operators import facts
 from cairn.plans.registry import query, table
 from cairn.sources import archives, layout, sinks
 from cairn.sources.compression import packed, unpacked
-
-
-def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp()
-    return f"{base.rstrip('/')}/packages-{uuid.uuid4().hex}"
+from cairn.tables import shared_dir
 
 
 def document_packages(spark, sf_dir):
@@ -33,7 +26,7 @@ def document_packages(spark, sf_dir):
         F.when(third, layout.REFPACK).otherwise(layout.RAW).alias("compression"),
         F.octet_length("text").cast("long").alias("decompressed_size"),
     )
-    at = folder(spark)
+    at = shared_dir(spark)
     sinks.saved(sinks.built(docs), at).count()
     return archives.files(spark, [at])
 

@@ -188,3 +188,12 @@ def test_stream(spark, tmp_path):
         run()
     got = sorted((r["original"][-9], r["new"][-9]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
     assert got == [("a", "b"), ("b", "c")]
+
+
+def test_positions(spark):
+    from cairn.operators.conflicts import positions, progress
+
+    rows = spark.range(5000, numPartitions=7).selectExpr("id", "(id * 7919) % 5003 AS v")
+    got = positions(rows, ["v"], "p").collect()
+    assert [r["p"] for r in sorted(got, key=lambda r: r["v"])] == list(range(1, 5001))
+    assert {r["total"] for r in progress(rows, ["v"]).collect()} == {5000}
