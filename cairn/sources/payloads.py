@@ -8,6 +8,8 @@ from dataclasses import dataclass
 #: Fixed values of the formats.
 TEXT_FORMATS = (0xFFF6, 0xFFFD, 0xFFFE, 0xFFFF)
 OUTFITS_MAGIC, NAME_SIZE, SIGNATURE = 0xDEADBEEF, 64, 0x8000
+TEXTURE, VERSIONED = 0x1C4A276C, 0xFFFF0001
+TEXTURE_FORMATS = ("RawARGB32", "RawRGB24", "Alpha", "DXT1", "DXT3", "Grayscale", "AltARGB32", "DXT5", "AltRGB24")
 TERMINALS = {"error": (0xFD, 0xFFFC), "true": (0xFE, 0xFFFD), "false": (0xFF, 0xFFFE)}
 
 
@@ -164,6 +166,43 @@ class Target:
         return self.instruction if self.end is None else TERMINALS[self.end][wide]
 
 
+@dataclass
+class Function:
+    """instructions: (opcode, true target, false target, node version, operands)."""
+
+    name: str
+    signature: int
+    head: tuple[int, ...]
+    cache_flags: int
+    instructions: list[tuple[int, Target, Target, int, bytes]]
+
+    @classmethod
+    def read(cls, data: bytes) -> Function:
+        r = Reader(data)
+        name, signature = r.name(), r.one("H") - SIGNATURE
+        if not 0 <= signature <= 9:
+            raise ValueError("unknown signature")
+        n, *head = r.many("HBBBBi")
+        flags = r.one("B") if signature == 9 else 0
+        wide, size = signature >= 7, 16 if signature >= 3 else 8
+        code = "H" if wide else "B"
+        out = []
+        for _ in range(n):
+            opcode, true, false = r.one("H"), r.one(code), r.one(code)
+            version = r.one("B") if signature >= 5 else 0
+            out.append((opcode, Target.of(true, wide), Target.of(false, wide), version, r.take(size)))
+        return cls(name, signature, tuple(head), flags, out)
+
+    def write(self) -> bytes:
+        wide = self.signature >= 7
+        code = "<H" if wide else "<B"
+        out = [name_bytes(self.name), struct.pack("<HHBBBBi", self.signature + SIGNATURE, len(self.instructions), *self.head)]
+        out.append(bytes([self.cache_flags]) if self.signature == 9 else b"")
+        for opcode, true, false, version, operands in self.instructions:
+            out += [struct.pack("<H", opcode), struct.pack(code, true.code(wide)), struct.pack(code, false.code(wide)), bytes([version]) if self.signature >= 5 else b"", operands]
+        return b"".join(out)
+
+
 def traversal(edges: dict[int, tuple[int | None, int | None]]) -> list[tuple[int, int, int]]:
     """(instruction, x, y) in the order of a depth-first walk from the lowest instruction not yet reached.
 
@@ -182,3 +221,33 @@ def traversal(edges: dict[int, tuple[int | None, int | None]]) -> list[tuple[int
             stack += [(t, x + dx, y + 1) for t, dx in ((true, -1), (false, 1)) if t is not None and t in left]
         row = max(y for _, _, y in out) + 1
     return out
+
+
+def texture_facts(data: bytes) -> tuple[int, int, int, int, int]:
+    """(width, height, format code, mip levels, textures) of a collection's first entry, which has to be a texture; pixels aren't read.
+
+    The levels are those of the first texture, which has a count of its own from block version 9 on.
+    """
+    r = Reader(data)
+    first = r.one("I")
+    versioned = first == VERSIONED
+    links = r.one("I") if versioned else first
+    r.take(links * (16 if versioned else 12))
+    n = r.one("I")
+    r.take(4 * n)
+    if not n:
+        raise ValueError("the collection is empty")
+    r.big_string()
+    kind, block = r.many("II")
+    if kind != TEXTURE:
+        raise ValueError("the first entry is no texture")
+    if r.big_string() != "cSGResource" or r.many("II") != (0, 2):
+        raise ValueError("a file name is missing")
+    r.big_string()
+    width, height, code, levels, _, textures, _ = r.many("IIIIfII")
+    if not 1 <= code <= len(TEXTURE_FORMATS):
+        raise ValueError("unknown texture format")
+    if block == 9:
+        r.big_string()
+        levels = r.one("I") if textures else 0
+    return width, height, code, levels, textures

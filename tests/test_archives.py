@@ -197,3 +197,40 @@ def test_positions(spark):
     got = positions(rows, ["v"], "p").collect()
     assert [r["p"] for r in sorted(got, key=lambda r: r["v"])] == list(range(1, 5001))
     assert {r["total"] for r in progress(rows, ["v"]).collect()} == {5000}
+
+
+def text(s):
+    return payloads.varint(len(s)) + s.encode()
+
+
+def test_payload_tables(spark):
+    from cairn.operators import payload_tables
+
+    function = payloads.Function("f", 7, (0, 1, 2, 3, -4), 0, [(5, payloads.Target(1), payloads.Target(None, "true"), 1, bytes(16)), (6, payloads.Target(None, "error"), payloads.Target(0), 0, bytes(16))])
+    assert payloads.Function.read(function.write()) == function
+    narrow = payloads.Function("f", 2, (0, 1, 2, 3, -4), 0, [(5, payloads.Target(0), payloads.Target(None, "false"), 0, bytes(8))])
+    assert payloads.Function.read(narrow.write()) == narrow
+    name = text("cSGResource") + struct.pack("<II", 0, 2) + text("n")
+    head = struct.pack("<III", payloads.VERSIONED, 0, 1) + struct.pack("<I", payloads.TEXTURE) + text("e") + struct.pack("<II", payloads.TEXTURE, 9)
+    texture = head + name + struct.pack("<IIIIfII", 8, 4, 4, 7, 1.0, 2, 0) + text("n") + struct.pack("<I", 3)
+    items = [bags.item("a", "UInt", 1), bags.item("a", "String", "x")]
+    rows = [("p", payloads.TEXTURE, 0, 0, i, bytearray(b)) for i, b in enumerate((texture, function.write(), payloads.TextList("n", 0xFFFD, [(1, "v", "d")]).write(), bags.write_binary(items), b"bad"))]
+    df = spark.createDataFrame(rows, "path string, type_id long, group_id long, instance_hi long, instance_lo long, data binary")
+    t = payload_tables.textures(df).collect()
+    # 8x4, 4x2, 2x1 in blocks of 8 bytes, twice
+    assert [(r["width"], r["height"], r["format"], r["mip_levels"], r["memory_size"]) for r in t] == [(8, 4, "DXT1", 3, (16 + 8 + 8) * 2)]
+    nodes = payload_tables.instructions(df.where("instance_lo = 1")).collect()
+    assert [(r["node"], r["true_target"], r["false_target"], r["x"], r["y"]) for r in nodes] == [(0, 1, None, 0, 0), (1, None, 0, -1, 1)]
+    assert [(r["value"], r["description"]) for r in payload_tables.strings(df.where("instance_lo = 2")).collect()] == [("v", "d")]
+    assert [(r["pos"], r["key"], r["u"], r["s"]) for r in payload_tables.bag_entries(df.where("instance_lo in (3, 4)")).collect()] == [(0, "a", 1, None), (1, "a", None, "x")]
+
+
+def test_types(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.sources import resource_types as T
+
+    assert len(T.rows()) == 139 and len(T.codes(["THUB"])) == 12
+    got = T.with_types(spark.createDataFrame([(0x1C4A276C,), (1,)], "type_id long")).withColumn("found", T.search_strings()).orderBy("type_id").collect()
+    assert [r["type_name"] for r in got] == ["Unknown(00000001)", "Texture Resource"] and got[1]["found"] == ["Texture Resource", "TXTR", "1C4A276C", "6tx"]
+    assert T.dimension(spark).where(T.has_extension(F.lit("x.6tx"))).count() == 1
