@@ -196,8 +196,10 @@ def quaternion_inverse(q: Column) -> Column:
 
 def matrix_product(a: Column, b: Column, n: int = 4) -> Column:
     """Row-major n by n matrices."""
-    cell = lambda r, c: sum((F.element_at(a, r * n + k + 1) * F.element_at(b, k * n + c + 1) for k in range(1, n)), F.element_at(a, r * n + 1) * F.element_at(b, c + 1))
-    return F.array(*(cell(r, c) for r in range(n) for c in range(n)))
+    at = F.array(*(F.lit(i) for i in range(n)))
+    rows = F.transform(at, lambda r: F.slice(a, r * n + 1, n))
+    columns = F.transform(at, lambda c: F.transform(at, lambda k: F.element_at(b, k * n + c + 1)))
+    return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: dot(r, c))))
 
 
 def transposed(m: Column, n: int = 4) -> Column:
@@ -219,3 +221,46 @@ def leftover(entries: Column, known: list[str]) -> Column:
 
 def mutual_default(a: Column, b: Column) -> tuple[Column, Column]:
     return F.coalesce(a, b), F.coalesce(b, a)
+
+
+def typed(entry: Column, dtype: str, field: str) -> Column:
+    """An entry's value if it has the type; without the entry or with another type, an error."""
+    return F.when(entry["dtype"] == dtype, entry[field]).otherwise(F.raise_error(F.concat(F.lit(f"no {dtype} under "), F.coalesce(entry["key"], F.lit("that key")))))
+
+
+def optional(entry: Column, dtype: str, field: str) -> Column:
+    """An entry's value if it has the type, else null."""
+    return F.when(entry["dtype"] == dtype, entry[field])
+
+
+def indexed(entries: Column, prefix: str, suffix: str, n: Column) -> Column:
+    """Entries of prefix0suffix, prefix1suffix and so on, n of them; null where one is missing."""
+    at = F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.get(F.filter(entries, lambda e: e["key"] == F.concat(F.lit(prefix), i.cast("string"), F.lit(suffix))), F.lit(0)))
+
+
+def since(version: Column, first: int, value: Column, default: Column) -> Column:
+    """A block that only versions from the first one on have."""
+    return F.when(version >= first, value).otherwise(default)
+
+
+def flag_labels(n: Column, labels: list[str]) -> Column:
+    """Labels of the bits that are set, the lowest first."""
+    return F.filter(F.array(*(F.when(bit(n, i), F.lit(label)) for i, label in enumerate(labels))), lambda x: x.isNotNull())
+
+
+def element_size(kind: Column) -> Column:
+    """Bytes of a vertex element: one to three floats, or four bytes."""
+    return F.when(kind == 0, 4).when(kind == 1, 8).when(kind == 2, 12).when(kind == 4, 4)
+
+
+def can_shrink(width: Column, height: Column) -> Column:
+    """Unable if a side above 1 is odd, Small if both are 1, else Ok."""
+    odd = ((width != 1) & (width % 2 == 1)) | ((height != 1) & (height % 2 == 1))
+    return F.when(odd, "Unable").when((width == 1) & (height == 1), "Small").otherwise("Ok")
+
+
+def index_set(which: Column, main: Column, normals: Column, uvs: Column) -> Column:
+    """A set of indices by its number: 0, 1 or 2, anything else is none; an empty one stands for vertices in order, null."""
+    chosen = F.when(which == 0, main).when(which == 1, normals).when(which == 2, uvs)
+    return F.when(F.size(chosen) > 0, chosen)
