@@ -29,26 +29,37 @@ def files(spark: SparkSession, folders: Sequence[str], glob: str = "*.package")
     return out
 
 
+def parsed_row(path: str, dir_ord: int, content: bytes | layout.Ranges) -> tuple:
+    """A file's row of PARSED: its header, holes and resources, or the error that stopped the parse."""
+    try:
+        p = layout.read(content)
+    except layout.BadPackage as e:
+        return path, dir_ord, str(e), *[None] * (len(HEAD) + 2), [], []
+    columns = [p.index[c].tolist() for c in layout.COLUMNS]
+    rows = [dict(zip(("index_pos", *layout.COLUMNS), (i, *r))) for i, r in enumerate(zip(*columns))]
+    gaps = [{"pos": i, "location": int(a), "size": int(b)} for i, (a, b) in enumerate(p.holes.tolist())]
+    return path, dir_ord, None, *(p.header[c] for c in HEAD), len(rows), len(gaps), gaps, rows
+
+
+def arrow_types() -> dict[str, pa.DataType]:
+    resource = pa.struct([pa.field("index_pos", pa.int32()), *(pa.field(c, pa.int32() if c == "compression" else pa.int64()) for c in layout.COLUMNS)])
+    hole = pa.struct([("pos", pa.int32()), ("location", pa.int64()), ("size", pa.int64())])
+    plain = dict.fromkeys((*HEAD, "n_entries", "n_holes"), pa.int64())
+    return {"path": pa.string(), "dir_ord": pa.int32(), "error": pa.string(), **plain, "holes": pa.list_(hole), "resources": pa.list_(resource)}
+
+
+def as_batch(row: tuple) -> pa.RecordBatch:
+    kinds = arrow_types()
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds.values())], list(kinds))
+
+
 def scan(found: DataFrame) -> DataFrame:
     """A row for each file: its header, holes and resources, or the error that stopped the parse. Payloads stay behind."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        resource = pa.struct([pa.field("index_pos", pa.int32()), *(pa.field(c, pa.int32() if c == "compression" else pa.int64()) for c in layout.COLUMNS)])
-        hole = pa.struct([("pos", pa.int32()), ("location", pa.int64()), ("size", pa.int64())])
-        kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int64()] * (len(HEAD) + 2), pa.list_(hole), pa.list_(resource)]
-        names = ["path", "dir_ord", "error", *HEAD, "n_entries", "n_holes", "holes", "resources"]
         for batch in arrow:
             for path, dir_ord, content in zip(*(batch.column(c) for c in ("path", "dir_ord", "content"))):
-                try:
-                    p = layout.read(content.as_py())
-                    columns = {c: v.tolist() for c, v in p.index.items()}
-                    n = len(columns["type_id"])
-                    rows = [{"index_pos": i, **{c: columns[c][i] for c in layout.COLUMNS}} for i in range(n)]
-                    holes = [{"pos": i, "location": int(a), "size": int(b)} for i, (a, b) in enumerate(p.holes.tolist())]
-                    row = [path.as_py(), dir_ord.as_py(), None, *(p.header[c] for c in HEAD), n, len(holes), holes, rows]
-                except layout.BadPackage as e:
-                    row = [path.as_py(), dir_ord.as_py(), str(e), *[None] * (len(HEAD) + 2), [], []]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+                yield as_batch(parsed_row(path.as_py(), dir_ord.as_py(), content.as_py()))
 
     return found.select("path", "dir_ord", "content").mapInArrow(run, PARSED)
 

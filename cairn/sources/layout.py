@@ -31,17 +31,32 @@ class Package:
     index: dict[str, np.ndarray] = field(default_factory=dict)
 
 
-def _array(data: bytes, kind: np.dtype, n: int, at: int) -> np.ndarray:
+class Ranges:
+    """A file's bytes by place and length, read when they are asked for."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size = file, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        self.file.seek(min(part.start or 0, self.size))
+        return self.file.read(max(0, min(part.stop, self.size) - (part.start or 0)))
+
+
+def _array(data: bytes | Ranges, kind: np.dtype, n: int, at: int) -> np.ndarray:
     if n and (at < 0 or at + n * kind.itemsize > len(data)):
         raise BadPackage("a table lies outside the file")
-    return np.frombuffer(data, kind, n, at) if n else np.zeros(0, kind)
+    return np.frombuffer(data[at : at + n * kind.itemsize], kind, n) if n else np.zeros(0, kind)
 
 
-def read(data: bytes) -> Package:
-    """A package's header, holes and index, with the directory joined to it and taken out."""
-    if len(data) < HEADER_SIZE or data[:4] != MAGIC:
+def read(data: bytes | Ranges) -> Package:
+    """A package's header, holes and index, with the directory joined to it and taken out. Payloads aren't read."""
+    first = data[:HEADER_SIZE]
+    if len(first) < HEADER_SIZE or first[:4] != MAGIC:
         raise BadPackage("no package")
-    head = {k: int(v) for k, v in zip(HEADER.names, np.frombuffer(data, HEADER, 1)[0]) if k not in ("magic", "rest")}
+    head = {k: int(v) for k, v in zip(HEADER.names, np.frombuffer(first, HEADER, 1)[0]) if k not in ("magic", "rest")}
     version = head["version_major"], head["version_minor"]
     if version not in VERSIONS or head["index_version"] not in (0, 7) or head["index_minor"] > 3:
         raise BadPackage(f"version {version} with index {head['index_version']}.{head['index_minor']} is unknown")
@@ -54,7 +69,7 @@ def _keys(long: bool) -> list[tuple[str, str]]:
     return [(n, "<u4") for n in ("type_id", "group_id", "instance_lo")] + [("instance_hi", "<u4")] * long
 
 
-def _index_1(data: bytes, head: dict[str, int]) -> dict[str, np.ndarray]:
+def _index_1(data: bytes | Ranges, head: dict[str, int]) -> dict[str, np.ndarray]:
     keys = _keys(head["index_minor"] == 2)
     rows = _array(data, np.dtype([*keys, ("location", "<u4"), ("stored_size", "<u4")]), head["n_entries"], head["index_location"])
     if (rows["location"] == 0).any():
@@ -76,7 +91,7 @@ def _index_1(data: bytes, head: dict[str, int]) -> dict[str, np.ndarray]:
     return {k: v[keep] for k, v in out.items()}
 
 
-def _index_2(data: bytes, head: dict[str, int]) -> dict[str, np.ndarray]:
+def _index_2(data: bytes | Ranges, head: dict[str, int]) -> dict[str, np.ndarray]:
     at = head["index_offset"]
     flags = int(_array(data, np.dtype("<u4"), 1, at)[0])
     fixed, at = {}, at + 4
@@ -86,18 +101,19 @@ def _index_2(data: bytes, head: dict[str, int]) -> dict[str, np.ndarray]:
     free = [n for n in ("type_id", "group_id", "instance_hi", "instance_lo") if n not in fixed]
     out: dict[str, list[int]] = {n: [] for n in COLUMNS}
     width = 4 * len(free)
+    table, at = data[at : at + head["n_entries"] * (width + 16)], 0
     for _ in range(head["n_entries"]):
-        if at + width + 12 > len(data):
+        if at + width + 12 > len(table):
             raise BadPackage("the index lies outside the file")
-        values = struct.unpack_from(f"<{len(free) + 3}I", data, at)
+        values = struct.unpack_from(f"<{len(free) + 3}I", table, at)
         at += width + 12
         row = fixed | dict(zip(free, values))
         location, stored, size = values[len(free) :]
         compression = RAW
         if stored >> 31:
-            if at + 4 > len(data):
+            if at + 4 > len(table):
                 raise BadPackage("the index lies outside the file")
-            compression = struct.unpack_from("<HH", data, at)[0]
+            compression = struct.unpack_from("<HH", table, at)[0]
             at += 4
         row |= {"location": location, "stored_size": stored & 0x7FFFFFFF, "compression": compression, "decompressed_size": size}
         for n in COLUMNS:

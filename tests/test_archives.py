@@ -234,3 +234,18 @@ def test_types(spark):
     got = T.with_types(spark.createDataFrame([(0x1C4A276C,), (1,)], "type_id long")).withColumn("found", T.search_strings()).orderBy("type_id").collect()
     assert [r["type_name"] for r in got] == ["Unknown(00000001)", "Texture Resource"] and got[1]["found"] == ["Texture Resource", "TXTR", "1C4A276C", "6tx"]
     assert T.dimension(spark).where(T.has_extension(F.lit("x.6tx"))).count() == 1
+
+
+def test_data_source(spark, tmp_path):
+    from cairn.sources.datasource import register
+
+    register(spark)
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/a.package").write_bytes(layout.write({}, [res(1, 2, 3, b"abc"), res(4, 5, 6, b"zz", layout.REFPACK, 9)]))
+    (tmp_path / "bad.package").write_bytes(b"DBPF")
+    (tmp_path / "v2.package").write_bytes(header(2, 1, offset=96) + struct.pack("<I", 0) + struct.pack("<7I", 11, 12, 13, 14, 500, 6, 60))
+    parsed = spark.read.format("packages").option("filesPerPartition", 1).load(f"file://{tmp_path}")
+    whole = archives.scan(archives.files(spark, [f"file://{tmp_path}"]))
+    short = lambda df: sorted((r["path"].split("/")[-1], r["index_pos"], r["type_id"], r["decompressed_size"]) for r in archives.resources(df).collect())
+    assert short(parsed) == short(whole) == [("a.package", 0, 1, 3), ("a.package", 1, 4, 9), ("v2.package", 0, 11, 60)]
+    assert archives.errors(parsed).count() == 1 and parsed.rdd.getNumPartitions() == 3
