@@ -1,12 +1,14 @@
-"""Pixel operations on tables with a row for each pixel."""
+"""Pixel operations on images as bytes and as tables with a row for each pixel."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.facts import format_bytes
+
 
 def shrink(pixels: DataFrame, image: Sequence[str], colours: Sequence[str], alpha: str) -> DataFrame:
     """Images of half the size: colours are means of four pixels (fewer at an odd edge) weighted by alpha, or plain means if all of them are clear; integers throughout."""
@@ -15,3 +17,65 @@ def shrink(pixels: DataFrame, image: Sequence[str], colours: Sequence[str], alph
     four = pixels.groupBy(*by).agg(F.sum(alpha).alias("_a"), F.count("*").alias("_n"), *sums)
     mixed = [F.expr(f"CASE WHEN _a = 0 THEN _s_{c} div _n ELSE _w_{c} div _a END").alias(c) for c in colours]
     return four.select(*image, "x", "y", *mixed, F.expr("_a div _n").alias(alpha))
+
+
+#: Bytes of a pixel in each plain format, and where its channels stand; blocks aren't decoded.
+CHANNELS = {
+    "RawARGB32": {"b": 0, "g": 1, "r": 2, "a": 3},
+    "AltARGB32": {"b": 0, "g": 1, "r": 2, "a": 3},
+    "RawRGB24": {"b": 0, "g": 1, "r": 2},
+    "AltRGB24": {"b": 0, "g": 1, "r": 2},
+    "Grayscale": {"r": 0, "g": 0, "b": 0},
+    "Alpha": {"a": 0},
+}
+
+
+def pixel_bytes(name: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for k, v in CHANNELS.items():
+        out = F.when(name == k, 1 + max(v.values())).otherwise(out)
+    return out
+
+
+def fits(data: Column, name: Column, width: Column, height: Column) -> Column:
+    """Whether an image has as many bytes as its format takes."""
+    return F.length(data) == format_bytes(name, width, height)
+
+
+def exploded(images: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """keep, x, y, r, g, b, a for every pixel of images (format, width, height, data) in a plain format whose size fits.
+
+    Colours without alpha are opaque, alpha without colour is black.
+    """
+    size = pixel_bytes(F.col("format"))
+    good = images.where(size.isNotNull() & fits(F.col("data"), F.col("format"), F.col("width"), F.col("height")) & (F.col("width") * F.col("height") > 0))
+    each = good.select(*keep, "format", "width", "data", size.alias("_size"), F.explode(F.sequence(F.lit(0), (F.col("width") * F.col("height") - 1).cast("int"))).alias("_i"))
+
+    def channel(c: str, default: int):
+        out = F.lit(default)
+        for k, v in CHANNELS.items():
+            if c in v:
+                byte = F.conv(F.hex(F.substring("data", F.col("_i") * F.col("_size") + v[c] + 1, F.lit(1))), 16, 10).cast("int")
+                out = F.when(F.col("format") == k, byte).otherwise(out)
+        return out.alias(c)
+
+    at = [F.expr("_i % width").cast("int").alias("x"), F.expr("_i div width").cast("int").alias("y")]
+    return each.select(*keep, *at, channel("r", 0), channel("g", 0), channel("b", 0), channel("a", 255))
+
+
+def imploded(pixels: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """by and `data`: pixels put together in a plain format, row by row; gray is the colours' mean, cut off."""
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    if name == "Grayscale":
+        text = byte(F.expr("(r + g + b) div 3"))
+    else:
+        order = sorted(CHANNELS[name], key=CHANNELS[name].get)
+        text = F.concat(*(byte(F.col(c)) for c in order))
+    rows = pixels.withColumn("_p", F.struct("y", "x", text.alias("t")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["t"]), "")
+    return rows.groupBy(*by).agg(F.unhex(joined).alias("data"))
+
+
+def without_mips(mips: Column, largest: int = 0, smallest: int = 0) -> Column:
+    """A mip chain, the smallest first, without so many of its largest and smallest levels."""
+    return F.slice(mips, smallest + 1, F.greatest(F.size(mips) - largest - smallest, F.lit(0)))

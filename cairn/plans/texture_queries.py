@@ -124,3 +124,34 @@ def pixel_shrink(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     px = o.selectExpr("o_orderkey div 400 AS img", "(o_orderkey % 400) % 20 AS x", "(o_orderkey % 400) div 20 AS y", "o_custkey % 256 AS r", "(o_orderkey * 7) % 5 * 50 AS a")
     return shrink(px, ["img"], ["r"], "a")
+
+
+PIXELS = """
+WITH d AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'RawARGB32' WHEN 1 THEN 'Grayscale' ELSE 'Alpha' END AS format, md5(p_name || p_partkey) AS h FROM part),
+px AS (SELECT p_partkey, format, h, unnest(range(0, CASE WHEN format = 'RawARGB32' THEN 4 ELSE 16 END)) AS i FROM d),
+v AS (SELECT p_partkey, format, i, CASE format WHEN 'RawARGB32' THEN ('0x' || h[i * 8 + 5:i * 8 + 6])::INT WHEN 'Grayscale' THEN ('0x' || h[i * 2 + 1:i * 2 + 2])::INT ELSE 0 END AS r,
+  CASE format WHEN 'RawARGB32' THEN ('0x' || h[i * 8 + 7:i * 8 + 8])::INT WHEN 'Grayscale' THEN 255 ELSE ('0x' || h[i * 2 + 1:i * 2 + 2])::INT END AS a FROM px)
+SELECT p_partkey, (i % CASE WHEN format = 'RawARGB32' THEN 2 ELSE 4 END)::INT AS x, (i // CASE WHEN format = 'RawARGB32' THEN 2 ELSE 4 END)::INT AS y, r, a FROM v
+"""
+
+
+def images(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, "RawARGB32").when(F.col("p_partkey") % 3 == 1, "Grayscale").otherwise("Alpha")
+    side = F.when(F.col("p_partkey") % 3 == 0, 2).otherwise(4)
+    return part.select("p_partkey", name.alias("format"), side.alias("width"), side.alias("height"), F.unhex(F.md5(F.concat("p_name", F.col("p_partkey").cast("string")))).alias("data"))
+
+
+@query("t_pixels", PIXELS)
+def pixels(spark, sf_dir):
+    from cairn.functions.pixels import exploded
+
+    return exploded(images(spark, sf_dir), ["p_partkey"]).select("p_partkey", "x", "y", "r", "a")
+
+
+@query("t_pixels_back", "SELECT p_partkey, md5(p_name || p_partkey) AS data FROM part WHERE p_partkey % 3 = 0")
+def pixels_back(spark, sf_dir):
+    from cairn.functions.pixels import exploded, imploded
+
+    back = imploded(exploded(images(spark, sf_dir).where("format = 'RawARGB32'"), ["p_partkey"]), ["p_partkey"], "RawARGB32")
+    return back.select("p_partkey", F.lower(F.hex("data")).alias("data"))
