@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+"
 SPACE = r"[\t-\r \x85\xa0  -     　]+"
 WORD_END = "</w>"
-#: Entries kept by each worker; a full cache starts anew.
-CACHE_ENTRIES, PAIR_ENTRIES = 700_000, 1_000_000
+#: Entries that each worker remembers, of texts between white space and of pairs.
+CACHE_ENTRIES, PAIR_ENTRIES = 400_000, 250_000
 #: A private-use character that stands for the end of a word.
 CLOSE = "\ue000"
 
@@ -57,7 +57,10 @@ class WordBpe:
         for n, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             pair, whole = (self.vocab[a], self.vocab[b]), self.vocab[a + b]
             self.rank[pair], self.made[pair], self.parts[whole] = n, whole, (n, *pair)
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
+        #: Symbols of each reachable token, and the symbol of each byte as a translation of Latin-1.
+        self.size = [0] * (1 + max(self.vocab.values()))
+        self.table = dict(enumerate(self.symbol))
         self.matches = self._automaton()
         self._word = regex.compile(SPLIT)
 
@@ -70,7 +73,8 @@ class WordBpe:
         for token, i in self.vocab.items():
             if self._reachable(i):
                 text = token[: -len(WORD_END)] + CLOSE if token.endswith(WORD_END) else token
-                found.add_word(text, (i, len(text)))
+                found.add_word(text, i)
+                self.size[i] = len(text)
         found.make_automaton()
         return found
 
@@ -102,31 +106,35 @@ class WordBpe:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether left and right stay two tokens when their texts stand side by side."""
-        known = self.compatible.get((left, right))
+        known = self.compatible.get(left << 20 | right)
         if known is None:
             if len(self.compatible) >= PAIR_ENTRIES:
                 self.compatible.clear()
-            known = self.compatible[left, right] = self._meet(left, right, len(self.rank))
+            known = self.compatible[left << 20 | right] = self._meet(left, right, len(self.rank))
         return known
 
     def word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        symbols = "".join([self.symbol[b] for b in word.encode()]) + CLOSE
-        n = len(symbols)
-        last, back = [-1] * n, [0] * n
-        may = self.compatible
-        for end, (token, size) in self.matches.iter(symbols):
+        plain = word.isascii() and word.isprintable()
+        symbols = (word if plain else word.encode().decode("latin-1").translate(self.table)) + CLOSE
+        last = [-1] * len(symbols)
+        may, size = self.compatible, self.size
+        for end, token in self.matches.iter(symbols):
             if last[end] < 0:
-                begin = end - size
+                begin = end - size[token]
                 if begin >= 0:
-                    pair = last[begin], token
-                    if pair[0] < 0 or not (may[pair] if pair in may else self.may_follow(*pair)):
+                    before = last[begin]
+                    if before < 0:
                         continue
-                last[end], back[end] = token, begin
-        ids, at = [], n - 1
+                    ok = may.get(before << 20 | token)
+                    if not (self.may_follow(before, token) if ok is None else ok):
+                        continue
+                last[end] = token
+        # the tokens' sizes are the back-pointers
+        ids, at = [], len(symbols) - 1
         while at >= 0:
             ids.append(last[at])
-            at = back[at]
+            at -= size[last[at]]
         return ids[::-1]
 
     def chunk(self, chunk: str) -> list[int]:
@@ -151,11 +159,18 @@ class Encoder:
         encoder = self
 
         class Cache(dict):
+            """The newer half of what is remembered; the older half goes when this one is full, but for what was met again."""
+
+            older: dict[str, bytes] = {}
+
             def __missing__(self, chunk: str) -> bytes:
-                if len(self) >= encoder.most:
-                    self.clear()
-                ids = array("I", encoder.bpe.chunk(chunk)).tobytes()
+                ids = self.older.get(chunk)
+                if ids is None:
+                    ids = array("I", encoder.bpe.chunk(chunk)).tobytes()
                 if len(chunk) <= 200:
+                    if 2 * len(self) >= encoder.most:
+                        self.older = dict(self)
+                        self.clear()
                     self[chunk] = ids
                 return ids
 

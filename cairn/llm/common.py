@@ -1,28 +1,25 @@
-"""Helpers shared by the operators: the shared folder, written tables, connected groups, folds."""
+"""Helpers shared by the operators: batches of texts, folds, samples, connected groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.tables import shared_dir, written
+
+__all__ = ["connected", "fold", "sampled", "shared_dir", "text_batches", "written"]
+
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir; where that is unset, as in tests, one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+#: Rows of an Arrow batch, where the session has Spark's default: texts are long, and a batch is in memory several times.
+BATCH_ROWS = 500
 
 
-def written(df: DataFrame, at: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs one read."""
-    at = at or shared_dir(df.sparkSession)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def text_batches(df: DataFrame) -> DataFrame:
+    """df itself, with its session's Arrow batches made small enough for texts unless they were set."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -30,11 +27,6 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def first_of_id(df: DataFrame, *columns: str) -> DataFrame:
-    """doc_id with the largest non-null value of each column, so that repeated rows don't multiply a join."""
-    return df.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
-
-
 def sampled(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame:
     """About `rows` rows (all, if there are fewer), chosen by the key's hash: the same ones in every run."""
     n = df.count()

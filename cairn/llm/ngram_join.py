@@ -22,7 +22,7 @@ from cairn.llm.common import connected, written
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Nodes of a candidate group that a block holds, about; columns of the incidence matrix multiplied at once; words remembered.
-BLOCK, COLUMNS, CACHE_ENTRIES = 192, 8192, 300_000
+BLOCK, COLUMNS, CACHE_ENTRIES = 192, 8192, 100_000
 
 
 def plan_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = 128) -> tuple[int, int]:

@@ -9,33 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import bpe, decontamination, ngram_join, quality_classifier, toxicity
-from cairn.llm.common import shared_dir
+from cairn.llm.common import shared_dir, text_batches
 from cairn.llm.queries import WORD_BPE, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier ranks below its threshold go."""
-    return quality_classifier.keep_good(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return quality_classifier.keep_good(text_batches(docs), quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
-    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.keep_clean(text_batches(docs), toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(text_batches(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.clean(text_batches(docs), table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids, with its counts and digests."""
-    return bpe.encode(docs, WORD_BPE)
+    return bpe.encode(text_batches(docs), WORD_BPE)
 
 
 STAGES = [
