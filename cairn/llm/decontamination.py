@@ -22,7 +22,7 @@ from cairn.llm.common import written
 
 WINDOW = 10
 #: Bytes of text in a shard and of items in a block, about: one text or item may hold more.
-SHARD_BYTES, BLOCK_BYTES = 3_000_000, 8_000_000
+SHARD_BYTES, BLOCK_BYTES = 2_000_000, 600_000
 #: Fixed value: words, in the UTF-8 of a text whose A-Z are lower-cased.
 _WORD = regex.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -154,11 +154,12 @@ class Windows:
     """The distinct windows of a block of items, as rows of term numbers, and each one's items."""
 
     def __init__(self, items: list[Row], window: int):
-        self.items: dict[tuple[bytes, ...], set[str]] = {}
+        found: dict[tuple[bytes, ...], set[str]] = {}
         for r in items:
             w = words(r["text"])
             for i in range(max(1, len(w) - window + 1) if w else 0):
-                self.items.setdefault(tuple(w[i : i + window]), set()).update([str(r["item_id"])] if r["item_id"] is not None else [])
+                found.setdefault(tuple(w[i : i + window]), set()).update([str(r["item_id"])] if r["item_id"] is not None else [])
+        self.items: dict[tuple[bytes, ...], tuple[str, ...]] = {w: tuple(ids) for w, ids in found.items()}
         self.terms = sorted({t for w in self.items for t in w})
         number = {t: i for i, t in enumerate(self.terms)}
         # shorter windows repeat their last term's number
@@ -218,7 +219,7 @@ def _searched(docs: DataFrame, windows: Windows, kind: str, shard_bytes: int) ->
                     np.add.at(hit, begin, 1)
                     np.add.at(hit, begin + len(terms), -1)
                     for d in np.unique(shard.doc_of(begin)).tolist():
-                        items[d] |= windows.items[terms]
+                        items[d].update(windows.items[terms])
                 edge = np.flatnonzero(np.diff((np.cumsum(hit) > 0).astype(np.int8), prepend=0))
                 owner = shard.doc_of(edge[::2])
                 spans: list[list[int]] = [[] for _ in items]

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, decontamination, html_text, language_id, ngram_join, quality_classifier, quality_rules, token_counts, toxicity, warc
-from cairn.llm.common import fold
+from cairn.llm.common import fold, text_batches
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return text_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def with_fold(rows: DataFrame, n: int, out: int) -> DataFrame:
@@ -128,7 +128,41 @@ SELECT w.id AS doc_id, len(a)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
 FROM w LEFT JOIN hit USING (id) LEFT JOIN items USING (id) WHERE kind = 'd'
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x : x <> '') AS a FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(a[i:i + 4], ' ') AS g FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 4, 1) + 1)) AS i FROM w WHERE len(a) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), near AS (
+  SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE c >= 0.8 * (p.n + q.n - c)
+), reach AS (
+  SELECT a, b FROM near UNION SELECT r.a, near.b FROM reach r JOIN near ON near.a = r.b
+)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, coalesce(links, 0)::BIGINT AS n_links
+FROM documents LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = doc_id
+LEFT JOIN (SELECT a, count(*) AS links FROM near GROUP BY a) l ON l.a = doc_id
+"""
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS k FROM p
+), b AS (
+  SELECT page_id, string_agg(to_base(('0x' || s[i * 5 + 1:i * 5 + 5])::BIGINT, 32, 4), '' ORDER BY i) AS t FROM d, (SELECT unnest(range(0, 8)) AS i) GROUP BY page_id
+)
+SELECT page_id, payload_bytes, translate(lower(t), '0123456789abcdefghijklmnopqrstuv', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = k THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> k THEN k END AS refers_to
+FROM d JOIN b USING (page_id)
+"""
+
 ORACLE_SQL = {
+    "op2_ngram_join": OP2_SQL,
+    "op3_warc": OP3_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
 }
