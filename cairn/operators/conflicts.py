@@ -15,15 +15,35 @@ DEFAULT_ENABLED = tuple(t for t in CONFLICT_TYPES if t not in ("CTSS", "TPRP", "
 LOCAL_GROUP = 0xFFFFFFFF
 
 
-def previous_owner(rows: DataFrame, keys: Sequence[str], file: str, order: Sequence[str]) -> DataFrame:
+#: Rows above which a key's rows go to several tasks, and how many stretches of the order they are cut into.
+HOT_ROWS, STRETCHES = 1_000_000, 64
+
+
+def previous_owner(rows: DataFrame, keys: Sequence[str], file: str, order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """rows whose key stood in an earlier row, with `original`, the file of the row just before: a chain, not a star.
 
-    Keys that occur once can't conflict; they are dropped by a count, which combines before its shuffle, so
-    that only conflicting keys are sorted. Both use the same partitioning of the keys.
+    Keys that occur once can't conflict; a count, which combines before its shuffle, drops them, so that only
+    conflicting keys are sorted. If the count shows a key with more than hot_rows rows, the rows of such
+    keys are cut by the first column of the order, a number, into stretches that are sorted apart.
     """
-    n = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    repeated = rows.join(n, list(keys), "left_semi")
-    return repeated.withColumn("original", F.lag(file).over(Window.partitionBy(*keys).orderBy(*order))).where("original is not null")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    if counts.where(F.col("_n") > hot_rows).isEmpty():
+        repeated = rows.join(counts.drop("_n"), list(keys), "left_semi")
+        return repeated.withColumn("original", F.lag(file).over(Window.partitionBy(*keys).orderBy(*order))).where("original is not null")
+    return _stitched(rows.join(counts, list(keys)), rows.columns, keys, file, order, hot_rows)
+
+
+def _stitched(counted: DataFrame, columns: Sequence[str], keys: Sequence[str], file: str, order: Sequence[str], hot_rows: int) -> DataFrame:
+    """previous_owner for counted rows with hot keys: each stretch is a window of its own, and its first row looks to the last row of the stretch before."""
+    borders = sorted(set(counted.approxQuantile(order[0], [i / STRETCHES for i in range(1, STRETCHES)], 0.005)))
+    stretch = sum((F.when(F.col(order[0]) > b, 1).otherwise(0) for b in borders), F.lit(0))
+    cut = counted.withColumn("_hot", F.col("_n") > hot_rows).withColumn("_stretch", F.when(F.col("_hot"), stretch).otherwise(0))
+    within = F.lag(file).over(Window.partitionBy(*keys, "_stretch").orderBy(*order))
+    inside = cut.withColumn("original", within).where("original is not null").select(*columns, "original")
+    at = F.struct(*order)
+    ends = cut.where("_hot").groupBy(*keys, "_stretch").agg(F.min_by(F.struct(*columns), at).alias("_first"), F.max_by(file, at).alias("_last"))
+    between = ends.withColumn("original", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_stretch"))).where("original is not null")
+    return inside.unionByName(between.select("_first.*", "original"))
 
 
 def conflict_groups(rows: DataFrame, keys: Sequence[str], file: str, file_order: Sequence[str], position: str) -> DataFrame:

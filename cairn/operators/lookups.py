@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A dimension above this many rows isn't broadcast.
@@ -23,10 +23,11 @@ def with_directory(index: DataFrame, directory: DataFrame, keys: Sequence[str],
     return index.join(sizes, list(keys), "left").withColumn("compression", F.when(found, "RefPack").otherwise("Uncompressed"))
 
 
-def first_match(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each key."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_at", at).where("_at = 1").drop("_at")
+def first_match(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key; minima combine before the shuffle, so a frequent key costs no more than others."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*keys, "_first.*").select(*rows.columns)
 
 
 def with_dimension(rows: DataFrame, dimension: DataFrame, key: str, name: str, fallback: Column) -> DataFrame:

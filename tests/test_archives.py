@@ -249,3 +249,18 @@ def test_data_source(spark, tmp_path):
     short = lambda df: sorted((r["path"].split("/")[-1], r["index_pos"], r["type_id"], r["decompressed_size"]) for r in archives.resources(df).collect())
     assert short(parsed) == short(whole) == [("a.package", 0, 1, 3), ("a.package", 1, 4, 9), ("v2.package", 0, 11, 60)]
     assert archives.errors(parsed).count() == 1 and parsed.rdd.getNumPartitions() == 3
+
+
+def test_hot_keys(spark):
+    from cairn.operators.conflicts import previous_owner
+    from cairn.operators.lookups import first_match
+
+    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then -1 else id % 400 end AS k", "(id * 7919) % 997 AS file", "id AS pos")
+    plain = previous_owner(rows, ["k"], "file", ["file", "pos"])
+    cut = previous_owner(rows, ["k"], "file", ["file", "pos"], hot_rows=100)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
+    first = {r["k"]: (r["file"], r["pos"]) for r in first_match(rows, ["k"], ["file", "pos"]).collect()}
+    best = {}
+    for r in rows.collect():
+        best[r["k"]] = min(best.get(r["k"], (9999, 0)), (r["file"], r["pos"]))
+    assert first == best
