@@ -264,3 +264,16 @@ def test_hot_keys(spark):
     for r in rows.collect():
         best[r["k"]] = min(best.get(r["k"], (9999, 0)), (r["file"], r["pos"]))
     assert first == best
+
+
+def test_verified(spark):
+    from cairn.sources import resource_types as T
+    from cairn.sources.verify import codecs, verified
+
+    assert len([k for k, *_ in codecs().values() if k == "bag"]) == 23
+    text_list = payloads.TextList("n", 0xFFFD, [(1, "v", "d")]).write()
+    bag = bags.write_xml([bags.item("a", "Float", 0.5)]).encode()
+    rows = [("p", T.codes(["STR"])[0], text_list), ("p", T.codes(["GZPS"])[0], bag), ("p", T.codes(["BCON"])[0], b"short"), ("p", 1, b"?")]
+    df = spark.createDataFrame([(p, t, 0, 0, i, bytearray(d)) for i, (p, t, d) in enumerate(rows)], "path string, type_id long, group_id long, instance_hi long, instance_lo long, data binary")
+    got = [(r["kind"], r["status"] and r["status"][:5]) for r in verified(df).orderBy("instance_lo").collect()]
+    assert got == [("text", "same"), ("bag", "same"), ("constants", "error"), (None, None)]
