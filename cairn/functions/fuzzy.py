@@ -34,3 +34,8 @@ def search(rows: DataFrame, column: str, wanted: str) -> DataFrame:
             yield t.map(lambda x: match_score(x, wanted)).astype("Int32")
 
     return rows.withColumn("score", scored(F.col(column))).where("score is not null")
+
+
+def best(rows: DataFrame, column: str, wanted: str, tie: str) -> DataFrame:
+    """The best match; without one, no row."""
+    return search(rows, column, wanted).orderBy(F.desc("score"), tie).limit(1)

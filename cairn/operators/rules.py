@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Comparisons by their written form, and rules that a new filter starts with.
@@ -80,3 +80,12 @@ class SortSpec:
     @classmethod
     def from_json(cls, text: str) -> SortSpec:
         return cls([(k, up) for k, up in json.loads(text)])
+
+
+def known_to_json(known: DataFrame, columns: Sequence[str]) -> str:
+    """A known list, which people keep by hand, as JSON."""
+    return json.dumps([[r[c] for c in columns] for r in known.select(*columns).toLocalIterator()])
+
+
+def known_from_json(spark: SparkSession, text: str, schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in json.loads(text)], schema)

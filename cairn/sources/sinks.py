@@ -93,3 +93,19 @@ def backup_name(path: str, taken: set[str], mode: str = "numbered") -> str | Non
     while f"{first}.{n}" in taken:
         n += 1
     return f"{first}.{n}"
+
+
+def unpack_to(rows: DataFrame, embedded: Column, extension: Column, folder: str) -> DataFrame:
+    """Write every resource as a file of its own, below a folder for its package; returns path and bytes."""
+    named = unpacked_names(rows, embedded, extension)
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    return saved(named.select(F.concat_ws("/", stem, "name").alias("path"), F.col("body").alias("content")), folder)
+
+
+def export(rows: DataFrame, key: dict[str, int], name: str, folder: str) -> DataFrame:
+    """Write the resources with a key, unpacked, under a name."""
+    same = F.lit(True)
+    for column, value in key.items():
+        same = same & (F.col(column) == value)
+    data = unpacked(F.col("data"), F.col("compression"), F.col("decompressed_size"))
+    return saved(rows.where(same).limit(1).select(F.lit(name).alias("path"), data.alias("content")), folder)

@@ -277,3 +277,45 @@ def test_verified(spark):
     df = spark.createDataFrame([(p, t, 0, 0, i, bytearray(d)) for i, (p, t, d) in enumerate(rows)], "path string, type_id long, group_id long, instance_hi long, instance_lo long, data binary")
     got = [(r["kind"], r["status"] and r["status"][:5]) for r in verified(df).orderBy("instance_lo").collect()]
     assert got == [("text", "same"), ("bag", "same"), ("constants", "error"), (None, None)]
+
+
+@pytest.mark.parametrize("name", ["DXT1", "DXT5", "RawARGB32", "AltRGB24", "Grayscale", "Alpha"])
+def test_dds(name):
+    from cairn.sources import dds
+
+    levels = [bytes(range(256))[:1] * dds.level_bytes(name, max(1, 8 >> i), max(1, 4 >> i)) for i in (3, 2, 1, 0)]
+    got = dds.read(dds.write(name, 8, 4, levels))
+    assert got == (dds.SAME.get(name, name), 8, 4, levels)
+    with pytest.raises(ValueError):
+        dds.write(name, 8, 4, [b"x"])
+    with pytest.raises(ValueError):
+        dds.read(dds.write(name, 8, 4, levels)[:-1])
+
+
+def test_unpack_export_and_known(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cairn.operators import rules
+    from cairn.functions import fuzzy
+
+    data = compression.refpack_pack(b"body " * 50)
+    rows = spark.createDataFrame([("d/p.package", 0, 1, 7, 0, 5, 0xFFFF, 250, bytearray(data))], "path string, index_pos int, type_id long, group_id long, instance_hi long, instance_lo long, compression int, decompressed_size long, data binary")
+    out = sinks.unpack_to(rows, F.lit(False), F.lit("txt"), f"file://{tmp_path}/u").collect()
+    assert [r["path"] for r in out] == ["p/0_0x0000000000000005_       7.refpack.txt"] and (tmp_path / "u" / out[0]["path"]).read_bytes() == data
+    sinks.export(rows, {"type_id": 1, "instance_lo": 5}, "one.txt", f"file://{tmp_path}/e").collect()
+    assert (tmp_path / "e/one.txt").read_bytes() == b"body " * 50
+    text = rules.known_to_json(spark.createDataFrame([("a", "b")], "original string, new string"), ["original", "new"])
+    assert [tuple(r) for r in rules.known_from_json(spark, text, "original string, new string").collect()] == [("a", "b")]
+    names = spark.createDataFrame([(1, "red widget"), (2, "reward"), (3, "blue")], "id int, name string")
+    assert fuzzy.best(names, "name", "rd wdg", "id").first()["id"] == 1 and fuzzy.best(names, "name", "zz", "id").count() == 0
+    assert fuzzy.match_score("x", "") == 0 and fuzzy.match_score(None, "x") is None
+
+
+def test_kept_view(spark, tmp_path):
+    from cairn.streaming.conflicts import kept_view
+
+    facts_dir = tmp_path / "facts"
+    spark.range(10).write.parquet(f"file://{facts_dir}")
+    stream = spark.readStream.schema("id long").parquet(f"file://{facts_dir}")
+    kept_view(stream, f"file://{tmp_path}/view", lambda df: df.where("id > 6"), f"file://{tmp_path}/cp").awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"file://{tmp_path}/view").collect()) == [7, 8, 9]
