@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Fixed values of the tokenizer's definition: its split pattern, Unicode's white space, its word end.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+"
-SPACE = r"[\t-\r \x85\xa0  -     　]+"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 WORD_END = "</w>"
 #: Entries that each worker remembers, of texts between white space and of pairs.
 CACHE_ENTRIES, PAIR_ENTRIES = 400_000, 250_000
@@ -52,11 +52,10 @@ class WordBpe:
         self.text_of = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.symbol = byte_symbols()
         self.rank: dict[tuple[int, int], int] = {}
-        self.made: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for n, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             pair, whole = (self.vocab[a], self.vocab[b]), self.vocab[a + b]
-            self.rank[pair], self.made[pair], self.parts[whole] = n, whole, (n, *pair)
+            self.rank[pair], self.parts[whole] = n, (n, *pair)
         self.compatible: dict[int, bool] = {}
         #: Symbols of each reachable token, and the symbol of each byte as a translation of Latin-1.
         self.size = [0] * (1 + max(self.vocab.values()))
