@@ -45,15 +45,15 @@ def family(rng, words, n, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [192, 3])
-def test_near_duplicates(spark, block):
+@pytest.mark.parametrize("block,whole", [(192, 4), (3, 100), (3, 1), (5, 0)])
+def test_near_duplicates(spark, block, whole):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(500)]
     texts = [t for n, e in ((30, 1), (12, 2), (5, 0), (8, 6)) for t in family(rng, words, n, e)]
     texts += [None, "", " ", "one two", "One  two", "one two three four five"] + [" ".join(rng.choice(words) for _ in range(80)) for _ in range(30)]
     rows = list(zip(rng.sample(range(10_000), len(texts)), texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS root", "'c' AS class_id")
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs, block=block, recall=0.9999).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs, block=block, whole_blocks=whole, recall=0.9999).collect()}
     assert got == brute_near(rows)
 
 
