@@ -117,7 +117,9 @@ class Range:
             self.held += got
 
     def forget(self, at: int) -> None:
-        self.held, self.begin = self.held[at - self.begin :], at
+        """Drop what lies before a place, once it is worth the copy of the rest."""
+        if at - self.begin > READ_BYTES:
+            self.held, self.begin = self.held[at - self.begin :], at
 
     def find(self, what: bytes, at: int, end: int) -> int:
         """The first place from `at` on and before `end` where `what` begins, or -1."""
@@ -126,20 +128,22 @@ class Range:
         return -1 if i < 0 else self.begin + i
 
     def unpacked(self, at: int, most: int | None = None) -> tuple[bytes, int] | None:
-        """The gzip member at a place and where it ends; with `most`, only its first bytes. None if it is none."""
-        z, out, place = zlib.decompressobj(31), [], at
-        n = 0
+        """The gzip member at a place and where it ends; with `most`, only its first bytes. None if it is none.
+
+        Members are short, and what is fed behind a member's end is copied: parts start small and double.
+        """
+        z, out, place, n, step = zlib.decompressobj(31), [], at, 0, 4096
         try:
             while not z.eof and (most is None or n < most):
-                self.upto(place + (4096 if most else READ_BYTES))
-                part = self.held[place - self.begin : place - self.begin + (4096 if most else READ_BYTES)]
+                self.upto(place + step)
+                part = memoryview(self.held)[place - self.begin : place - self.begin + step]
                 if not part:
                     return None if most is None else (b"".join(out), place)
                 out.append(z.decompress(part, (most - n) if most else 0))
                 n += len(out[-1])
                 if most and z.unconsumed_tail:
                     break
-                place += len(part)
+                place, step = place + len(part), min(2 * step, READ_BYTES)
             return b"".join(out), place - len(z.unused_data)
         except zlib.error:
             return None
