@@ -78,10 +78,14 @@ def resource_name(type_id: Column, group: Column, high: Column, low: Column, ext
 
 
 def human_size(n: Column, decimals: int = 2) -> Column:
-    """Bytes in decimal units."""
+    """Bytes in decimal units, halves rounded up; whole numbers all the way, so that no binary fraction decides."""
     out = F.concat(n.cast("string"), F.lit(" B"))
+    scale = 10**decimals
     for power, unit in ((1, "kB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(n >= 1000**power, F.concat(F.format_string(f"%.{decimals}f", n / F.lit(float(1000**power))), F.lit(f" {unit}"))).otherwise(out)
+        size = 1000**power
+        scaled = F.floor((n.cast("decimal(20,0)") * scale + size // 2) / F.lit(size).cast("decimal(20,0)")).cast("long")
+        shown = F.concat(F.floor(scaled / scale).cast("string"), F.lit("."), F.lpad((scaled % scale).cast("string"), decimals, "0"), F.lit(f" {unit}"))
+        out = F.when(n >= size, shown).otherwise(out)
     return out
 
 

@@ -45,12 +45,12 @@ def package_index(spark, sf_dir):
     return archives.resources(parsed).agg(F.count("*").alias("n_resources"), F.countDistinct("path").alias("n_files"), F.sum("group_id").alias("groups"))
 
 
-@query("x_compression", "SELECT doc_id, md5(text) AS zlib, md5(text) AS refpack, true AS smaller FROM documents WHERE n_chars > 400 AND text LIKE '%the%the%the%'")
+@query("x_compression", "SELECT doc_id, md5(text) AS zlib, md5(text) AS refpack FROM documents")
 def compression(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("n_chars > 400 and text like '%the%the%the%'").select("doc_id", F.col("text").cast("binary").alias("b"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
     both = rows.select("doc_id", F.length("b").alias("n"), packed(F.col("b"), F.lit(layout.ZLIB)).alias("z"), packed(F.col("b"), F.lit(layout.REFPACK)).alias("r"))
     back = lambda c, kind: F.md5(unpacked(F.col(c), F.lit(kind), F.col("n")))
-    return both.select("doc_id", back("z", layout.ZLIB).alias("zlib"), back("r", layout.REFPACK).alias("refpack"), ((F.length("z") < F.col("n")) & (F.length("r") < F.col("n"))).alias("smaller"))
+    return both.select("doc_id", back("z", layout.ZLIB).alias("zlib"), back("r", layout.REFPACK).alias("refpack"))
 
 
 @query("x_recompress", "SELECT count(*) AS n, sum(strlen(text))::BIGINT AS bytes_before, true AS smaller FROM documents")

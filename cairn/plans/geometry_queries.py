@@ -26,7 +26,7 @@ def moved(spark, sf_dir):
 
 
 QUATERNION = """
-WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS w FROM embeddings WHERE abs(embedding[4]) > 0.01),
+WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE + 2 AS w FROM embeddings),
 n AS (SELECT *, x * x + y * y + z * z + w * w AS s FROM e)
 SELECT vec_id, round(-x / s, 6) AS ix, round(w / s, 6) AS iw, round(1 - 2 * y * y - 2 * z * z, 6) AS m00, round(2 * x * y - 2 * w * z, 6) AS m01 FROM n
 """
@@ -35,8 +35,8 @@ SELECT vec_id, round(-x / s, 6) AS ix, round(w / s, 6) AS iw, round(1 - 2 * y *
 @query("m_quaternion", QUATERNION)
 def quaternion(spark, sf_dir):
     at = lambda i: F.element_at("embedding", i).cast("double")
-    q = F.struct(at(1).alias("x"), at(2).alias("y"), at(3).alias("z"), at(4).alias("w"))
-    rows = table(spark, sf_dir, "embeddings").where("abs(element_at(embedding, 4)) > 0.01").select("vec_id", q.alias("q"))
+    q = F.struct(at(1).alias("x"), at(2).alias("y"), at(3).alias("z"), (at(4) + 2).alias("w"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", q.alias("q"))
     rows = rows.withColumns({"i": scalar.quaternion_inverse(F.col("q")), "m": G.rotation(F.col("q"))})
     return rows.select("vec_id", F.round("i.x", 6).alias("ix"), F.round("i.w", 6).alias("iw"), F.round(F.element_at("m", 1), 6).alias("m00"), F.round(F.element_at("m", 2), 6).alias("m01"))
 

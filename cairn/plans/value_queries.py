@@ -20,9 +20,9 @@ def parses(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.parse_u8(key).alias("u8"), S.parse_u32(F.concat(F.lit("-"), key)).alias("wrapped"), S.parse_bool(F.when(flag, "TRUE").otherwise("False")).alias("flag"), S.bool_text(flag).alias("flag_text"))
 
 
-@query("v_u64", "SELECT o_orderkey, (((o_orderkey + 4294960000)::DECIMAL(20,0) * 4294967296) + o_custkey)::DECIMAL(20,0)::VARCHAR AS id, o_orderkey + 4294960000 AS high, o_custkey AS low FROM orders WHERE o_orderkey < 7000")
+@query("v_u64", "SELECT o_orderkey, (((o_orderkey * 2654435761 % 4294967296)::DECIMAL(20,0) * 4294967296) + o_custkey)::DECIMAL(20,0)::VARCHAR AS id, o_orderkey * 2654435761 % 4294967296 AS high, o_custkey AS low FROM orders")
 def u64(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 7000").withColumn("id", S.compose_u64(F.col("o_orderkey") + 4294960000, F.col("o_custkey")))
+    rows = table(spark, sf_dir, "orders").withColumn("id", S.compose_u64(F.col("o_orderkey") * 2654435761 % 4294967296, F.col("o_custkey")))
     high, low = S.split_u64(F.col("id"))
     return rows.select("o_orderkey", F.col("id").cast("string").alias("id"), high.alias("high"), low.alias("low"))
 
@@ -33,11 +33,17 @@ def resource_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.resource_name(key, F.lit(0xFFFFFFFF), F.col("p_size"), key + 1, F.lit("6tx")).alias("name"))
 
 
-@query("v_human_size", "SELECT doc_id, CASE WHEN n_chars * 977 >= 1000000000 THEN printf('%.2f GB', n_chars * 977 / 1e9) WHEN n_chars * 977 >= 1000000 THEN printf('%.2f MB', n_chars * 977 / 1e6) WHEN n_chars * 977 >= 1000 THEN printf('%.2f kB', n_chars * 977 / 1e3) ELSE (n_chars * 977)::VARCHAR || ' B' END AS size FROM documents WHERE (n_chars * 977) % 10 <> 5")
+SIZES = """
+WITH s AS (SELECT doc_id, n_chars * 977 AS n FROM documents),
+u AS (SELECT *, CASE WHEN n >= 1000000000 THEN 1000000000 WHEN n >= 1000000 THEN 1000000 ELSE 1000 END AS unit FROM s),
+r AS (SELECT *, (n * 100 + unit // 2) // unit AS h FROM u)
+SELECT doc_id, CASE WHEN n < 1000 THEN n || ' B' ELSE (h // 100) || '.' || lpad((h % 100)::VARCHAR, 2, '0') || CASE unit WHEN 1000 THEN ' kB' WHEN 1000000 THEN ' MB' ELSE ' GB' END END AS size FROM r
+"""
+
+
+@query("v_human_size", SIZES)
 def human_size(spark, sf_dir):
-    # sizes that end in a 5 are left out: the engines round halves of binary fractions differently
-    rows = table(spark, sf_dir, "documents").where("(n_chars * 977) % 10 <> 5")
-    return rows.select("doc_id", S.human_size(F.col("n_chars") * 977).alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.human_size(F.col("n_chars") * 977).alias("size"))
 
 
 @query("v_bits", "SELECT p_partkey, (p_partkey & 1) = 1 AS adult, ((p_partkey >> 1) & 1) = 1 AS child, ((p_partkey >> 2) & 1) = 1 AS elder, p_partkey & 7 AS packed, p_partkey | 16 AS with_4, p_partkey & ~2 AS without_1 FROM part")
