@@ -25,7 +25,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 WORD_END = "</w>"
 #: Entries that each worker remembers, of texts between white space and of pairs.
-CACHE_ENTRIES, PAIR_ENTRIES = 400_000, 250_000
+CACHE_ENTRIES, PAIR_ENTRIES = 300_000, 150_000
 #: A private-use character that stands for the end of a word.
 CLOSE = "\ue000"
 
