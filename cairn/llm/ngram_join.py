@@ -2,9 +2,8 @@
 
 Texts with equal n-gram sets are one node. Band hashes are shuffled, and the nodes of a bucket are tied to
 its smallest node, which makes one row a node and band instead of all pairs. Nodes tied together, directly or
-over others, form a candidate group. In a group of a few blocks the full sets of every pair are compared; a
-larger group is compared by its buckets, so that texts that others tie together aren't. Either goes by blocks:
-a task holds two blocks at most and returns a row for each node of them, never pairs.
+over others, form a candidate group. In each group, of any size, the full sets of every pair are compared, by
+blocks: a task holds two blocks at most and returns a row for each node of them, never pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ from xxhash import xxh64_intdigest
 from cairn.llm.common import connected, written
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.999
-#: Nodes that a block holds, about; blocks of a group that is compared whole; columns of the incidence matrix multiplied at once; words remembered.
-BLOCK, WHOLE_BLOCKS, COLUMNS, CACHE_ENTRIES = 192, 4, 8192, 100_000
+#: Nodes of a candidate group that a block holds, about; columns of the incidence matrix multiplied at once; words remembered.
+BLOCK, COLUMNS, CACHE_ENTRIES = 192, 8192, 100_000
 
 
 def plan_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = 128) -> tuple[int, int]:
@@ -118,16 +117,10 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar
     return both >= similarity * union - 1e-9
 
 
-def compare(nodes: np.ndarray, first: np.ndarray, second: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], similarity: float, bands: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each node of a block `first` and another or the same, `second` (their places): the smallest node it is tied to here, and its links to documents of others.
-
-    In a bucket of a band, pairs that also share an earlier band don't count: they are compared there.
-    """
-    here = similar(sets, first, second, similarity)
-    for b in range(band):
-        here &= bands[first, b][:, None] != bands[second, b][None, :]
+def compare(nodes: np.ndarray, first: np.ndarray, second: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each node of a block `first` and another or the same, `second` (their places): the smallest node it is tied to here, and its links to documents of others."""
     near = np.zeros((len(nodes), len(nodes)), bool)
-    near[np.ix_(first, second)] = here
+    near[np.ix_(first, second)] = similar(sets, first, second, similarity)
     near |= near.T
     near &= nodes[:, None] != nodes[None, :]
     links = near @ copies
@@ -141,12 +134,13 @@ def compare(nodes: np.ndarray, first: np.ndarray, second: np.ndarray, copies: np
         root = low
 
 
-def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, whole_blocks: int = WHOLE_BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, whole_blocks: int | None = None) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its near-duplicates and theirs), n_links (documents at least `similarity` alike) for every row of docs (doc_id, text).
 
     Similarity is the Jaccard similarity of the sets of n-word n-grams. Pairs that share no band, at most
-    1 - recall of those at the threshold, may be missed unless others bring them into one group of at most whole_blocks
-    blocks, where every pair is compared; in larger groups every pair that shares a band is. Texts without words (null, empty) are alone in their classes. doc_id must be an integer:
+    1 - recall of those at the threshold, may be missed unless others bring them into one group; every pair of a
+    group is compared, however large it is (whole_blocks, once a limit to that, is accepted and has no effect).
+    Texts without words (null, empty) are alone in their classes. doc_id must be an integer:
     rows that repeat an id share a class, and identical repeats count as copies; rows with a null id have a null
     class and 0 links. Other columns are ignored.
     """
@@ -156,18 +150,14 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
 
     one = signed.select("doc_id", "set_hash", "bands").join(sets.select(F.col("node").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"])
     one = one.select(F.col("doc_id").alias("node"), "bands")
-    banded = written(one.select("node", F.posexplode("bands").alias("band", "bucket")))
-    hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    edges = banded.join(hubs.select("bucket", "hub"), "bucket").where("node <> hub").select("node", "hub")
+    banded = written(one.select("node", F.explode("bands").alias("bucket")))
+    hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
+    edges = banded.join(hubs, "bucket").where("node <> hub").select("node", "hub")
     groups = connected(edges, "node", "hub")
 
     size = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
     members = groups.join(size, "root").join(sets.groupBy("node").agg(F.sum("copies").alias("copies")), "node")
-    place = lambda of, band, n: F.struct(F.col(of).cast("long").alias("of"), band.cast("int").alias("band"), n.cast("int").alias("n_blocks"))
-    small = members.where(F.col("n_blocks") <= whole_blocks).select("node", "copies", F.array(place("root", F.lit(-1), F.col("n_blocks"))).alias("places"), F.array().cast("array<long>").alias("bands"))
-    large = members.where(F.col("n_blocks") > whole_blocks).select("node", "copies")
-    in_buckets = banded.join(large.select("node"), "node").join(hubs.select("bucket", "n"), "bucket").groupBy("node").agg(F.collect_list(place("bucket", F.col("band"), F.ceil(F.col("n") / block))).alias("places"))
-    placed = small.unionByName(large.join(in_buckets, "node").join(one.groupBy("node").agg(F.first("bands").alias("bands")), "node"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
 
     def grams(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
@@ -175,24 +165,21 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
             packed = pa.array([shingles(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), packed], [*kept, "grams"])
 
-    kept = ("node", "copies", "places", "bands")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where("doc_id is not null").join(placed, "node").select(*kept, "text")
+    kept = ("root", "node", "copies", "n_blocks", "block")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").where("doc_id is not null").join(members, "node").select(*kept, "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shingled = texts.mapInArrow(grams, f"node {kind}, copies long, places array<struct<of:long,band:int,n_blocks:int>>, bands array<long>, grams binary")
-    each = shingled.select("node", "copies", "bands", "grams", F.inline("places")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    shingled = texts.mapInArrow(grams, f"root {kind}, node {kind}, copies long, n_blocks int, block int, grams binary")
+    each = shingled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     each = each.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
     def compared(group: pa.Table) -> pa.Table:
         sets_here = [np.frombuffer(b, np.uint64) for b in group["grams"].to_pylist()]
-        band = group["band"][0].as_py()
-        bands_here = np.array(group["bands"].to_pylist(), np.int64) if band > 0 else np.zeros((len(sets_here), 0), np.int64)
         block = group["block"].to_numpy()
         first, second = (np.flatnonzero(block == group[c][0].as_py()) for c in ("low", "high"))
-        root, links = compare(group["node"].to_numpy(), first, second, group["copies"].to_numpy(), sets_here, similarity, bands_here, max(0, band))
+        root, links = compare(group["node"].to_numpy(), first, second, group["copies"].to_numpy(), sets_here, similarity)
         return pa.table({"node": group["node"], "tied": pa.array(root, group["node"].type), "links": pa.array(links, pa.int64())})
 
-    found = written(each.drop("n_blocks", "other").groupBy("of", "band", "low", "high").applyInArrow(compared, f"node {kind}, tied {kind}, links long"))
+    found = written(each.drop("n_blocks", "other").groupBy("root", "low", "high").applyInArrow(compared, f"node {kind}, tied {kind}, links long"))
     classes = connected(found, "node", "tied").select("node", F.col("root").alias("class_id"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     of_set = sets.join(classes, "node", "left").join(links, "node", "left")

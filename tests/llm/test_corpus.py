@@ -57,6 +57,16 @@ def test_near_duplicates(spark, block, whole):
     assert got == brute_near(rows)
 
 
+def test_near_duplicates_large_family(spark):
+    """Texts of 92 n-grams with one word of their own: any two share 82 of 102 at least, too few for every pair to share a band."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(96)]
+    texts = [" ".join([*base[:p], f"own{i}", *base[p + 1 :]]) for i in range(850) for p in [rng.randrange(len(base))]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {(0, len(texts) - 1)}
+
+
 def test_near_duplicates_of_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
