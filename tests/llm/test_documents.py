@@ -40,6 +40,22 @@ def test_toxicity_held_out(spark):
     assert accuracy(spark, queries.op4_toxicity, "toxic", "predicted") > 0.93
 
 
+def test_toxicity_reads_the_words_of_training():
+    texts = ["Well-known, l'eau — the,der,die: http://a.b/c?d=e", "one,two,three", "!? ...", "", "你好，世界。再见", "the " + "long,words;" * 40 + "x" * 300 + "-" + "x" * 300]
+    words = [toxicity._WORD.findall(t.lower()) for t in texts]
+    hashes = np.unique([h for w in sorted({w for ws in words for w in ws} - {"known"}) for h in toxicity.word_hashes(w)])
+    vectors = np.random.default_rng(0).normal(size=(len(hashes), toxicity.DIM)).astype(np.float32)
+    reader = toxicity.Reader(toxicity.Network(hashes, vectors, [], [], np.zeros(0), 0.0))
+    of = dict(zip(hashes.tolist(), vectors))
+    pad = [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+    want = [v for ws in words for v in [*(sum([of[h] for h in toxicity.word_hashes(w) if h in of], np.zeros(toxicity.DIM)) for w in ws), *pad]]
+    for _ in range(2):
+        got, begins, languages = reader.read(texts)
+        assert got.shape == (len(want), toxicity.DIM) and np.allclose(got, want, atol=1e-5)
+        assert begins.tolist() == np.cumsum([0, *(len(ws) + len(pad) for ws in words)])[:-1].tolist()
+        assert [toxicity.LANGUAGES[i] for i in languages] == ["de", "other", "other", "other", "other", "en"]
+
+
 def test_language_held_out(spark):
     assert accuracy(spark, queries.op10_language_id, "lang", "lang_pred") > 0.98
 
