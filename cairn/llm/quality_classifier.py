@@ -73,8 +73,8 @@ def design(rows: np.ndarray, edges: np.ndarray) -> np.ndarray:
 def fit_pairs(rows: np.ndarray, good: np.ndarray, pairs: int = 40_000, l2: float = 3.0, seed: int = 5) -> Ranker:
     """Bradley-Terry by Newton steps on the logistic loss of feature differences of (better, worse) pairs.
 
-    The threshold lies midway between the classes' outer quantiles; where these overlap, it is the quantile
-    of the sample's scores with the best mean of both classes' recalls.
+    The threshold lies midway between the classes' outer quantiles; where these overlap, it is the one
+    of all the sample's scores with the best mean of both classes' recalls.
     Without both classes, every document is kept.
     """
     n_measures = len(MEASURES)
@@ -101,8 +101,9 @@ def fit_pairs(rows: np.ndarray, good: np.ndarray, pairs: int = 40_000, l2: float
     if bad_end < good_begin:
         threshold = float((bad_end + good_begin) / 2)
     else:
-        grid = np.quantile(u, np.linspace(0.002, 0.6, 300))
-        threshold = float(grid[int(np.argmax([(u[good] >= t).mean() + (u[~good] < t).mean() for t in grid]))])
+        at = np.unique(u)
+        kept, dropped = good.sum() - np.searchsorted(np.sort(u[good]), at), np.searchsorted(np.sort(u[~good]), at)
+        threshold = float(at[int(np.argmax(kept / good.sum() + dropped / (~good).sum()))])
     spread = float(np.std(u)) or 1.0
     return Ranker(edges, w, threshold, 3.0 / spread)
 

@@ -35,6 +35,19 @@ def test_quality_held_out(spark):
     assert accuracy(spark, queries.op1_quality_classifier, "quality", "predicted") > 0.95
 
 
+@pytest.mark.parametrize("n_good,n_bad", [(900, 100), (500, 500), (150, 850), (40, 960)])
+def test_quality_threshold(n_good, n_bad):
+    """Overlapping classes, with few and with many bad documents: no score of the sample is a better threshold."""
+    rng = np.random.default_rng(8)
+    good = np.arange(n_good + n_bad) < n_good
+    rows = rng.normal(np.where(good, 1.5, 0.0)[:, None], 1.0, (len(good), len(quality_classifier.MEASURES)))
+    rows[:, 1:] = rng.normal(size=rows[:, 1:].shape)
+    ranker = quality_classifier.fit_pairs(rows, good, pairs=4000)
+    u = ranker.design(rows) @ ranker.weights
+    recalls = lambda t: (u[good] >= t).mean() + (u[~good] < t).mean()
+    assert np.isclose(recalls(ranker.threshold), max(map(recalls, u)))
+
+
 def test_toxicity_held_out(spark):
     # 43 toxic documents to learn from
     assert accuracy(spark, queries.op4_toxicity, "toxic", "predicted") > 0.93
