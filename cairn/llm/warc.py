@@ -67,13 +67,15 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
 
     The payload is the html in UTF-8, empty if null. Of equal payloads of least_bytes or more, the row with the
     largest page_id is the response and the others revisit it; smaller payloads are all responses, and so are
-    rows that repeat a response's id or have equal payloads and no id at all. Digests find equal payloads; a digest that very many
-    rows share is one key of a plain join, which AQE splits. Other columns are ignored.
+    rows that repeat a response's id or have equal payloads and no id at all. Digests find equal payloads; those with
+    several rows are written first, so that the join's sides are plain shuffles, of which AQE splits a digest that
+    very many rows share. Other columns are ignored.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     keys = pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).alias("size")).where(F.col("size") >= least_bytes)
     keepers = keys.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("digest", "keeper")
+    keepers = written(keepers)
     marked = rows.join(keepers, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,6 +170,25 @@ def test_warc_odd(spark):
     assert warc.round_trip(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def test_warc_shared_payload(spark):
+    """No task writes all records of a payload that very many pages share."""
+    shared = hashlib.shake_256(b"shared").hexdigest(10_000)
+    html = F.when(F.col("id") % 3 > 0, F.lit(shared)).otherwise(F.col("id").cast("string"))
+    pages = spark.range(0, 900, 1, 8).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    low = "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    conf = {**dict.fromkeys(low, "20000"), "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "4"}
+    conf |= dict.fromkeys(("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"), "-1")
+    was = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        archives = warc.write_archives(pages, common.shared_dir(spark)).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r["records"] for r in archives) == 900 and max(r["records"] for r in archives) < 400
+
+
 def test_splits(spark):
     inner = warc.member(warc.record(9, "in", b"inside", None, "d"))
     rows = [(i, "u", zlib.crc32(b"%d" % i).to_bytes(4, "big").hex() * (i * 37 % 90)) for i in range(80)]
