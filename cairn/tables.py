@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir; where that is unset, as in tests, one is set."""
+    """A new folder's path under spark.checkpoint.dir.
+
+    Where that is unset, a session whose driver and executors are one process gets a folder of its own; on a
+    cluster it is an error, since no other executor sees a machine's own folders.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
