@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.tables import shared_dir, written
 
-__all__ = ["connected", "fold", "sampled", "shared_dir", "text_batches", "written"]
+__all__ = ["connected", "fold", "sampled", "shared_dir", "small", "written"]
 
 
-#: Rows of an Arrow batch, where the session has Spark's default: texts are long, and a batch is in memory several times.
-BATCH_ROWS = 500
+#: Bytes of text that a task takes from an Arrow batch at once, about: one text may hold more.
+SLICE_BYTES = 4_000_000
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """df itself, with its session's Arrow batches made small enough for texts unless they were set."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
-    return df
+def small(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices, without a copy, of about most_bytes of text, so that what a task makes of a slice is bounded."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most_bytes, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -1,6 +1,7 @@
 """Classifiers, languages, rules and pages: held-out accuracy, brute force and odd rows."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -146,17 +147,63 @@ def plain_article(page):
     return "\n".join(b for b in blocks if b)
 
 
+PAGES = pq.read_table(f"{SF}/pages.parquet")["html"].to_pylist()
+
+
 def test_articles():
-    for page in pq.read_table(f"{SF}/pages.parquet")["html"].to_pylist():
+    for page in PAGES:
         assert html_text.main_text(page) == plain_article(page)
 
 
+@pytest.mark.parametrize("element", ["div", None])
+def test_articles_without_their_element(element):
+    """Windows find the same text where no element says what the article is."""
+    for page in PAGES:
+        other = re.sub(r"(</?)article>", rf"\1{element}>" if element else "", page)
+        assert html_text.main_text(other) == plain_article(page)
+
+
+LONG = "Text that goes on for more than the eighty characters which a surge of the distribution asks for."
+
+
 def test_pages_without_article():
-    long = "Text that goes on for more than the eighty characters which a surge of the distribution asks for."
-    page = f'<html><head><title>x<body><ul class="main-menu"><li>Home<li>News</ul><header>Top</header><div><h2>A &lt;b&gt;</h2><p>{long}<p class="ad">buy<p>end<br>here</div><form>Go</form><div id="comments"><p>{long}</div><footer>f</footer>'
-    assert html_text.main_text(page) == f"A <b>\n{long}\nend here"
+    page = f'<html><head><title>x<body><ul class="main-menu"><li>Home<li>News</ul><header>Top</header><div><h2>A &lt;b&gt;</h2><p>{LONG}<p class="ad">buy<p>end<br>here</div><form>Go</form><div id="comments"><p>{LONG}</div><footer>f</footer>'
+    assert html_text.main_text(page) == f"A <b>\n{LONG}\nend here"
     assert html_text.main_text("<script>var a='<p>no</p>'") == "" and html_text.main_text("<p>a <b c='>'>d</b>") == "a d"
-    assert html_text.surges([0, 5, 0, 0, 0, 90, 1, 0, 0, 0, 3], 3, 80) == [(5, 7)]
+    assert html_text.main_text('<div class="ad">buy</div><nav>Home</nav>') == ""
+    assert html_text.main_text('<p><a href="x">only a link</a>') == "only a link"
+    # nothing marks what stands around the text
+    plain = f"<body><div>My site</div><div>We say</div><div><a>Home</a></div><div><a>News</a></div><div><div><h1>T</h1><p>{LONG}</p><p>Sh is.</p><ul><li>one<li>two</ul><div>Share this</div><div><a>Tw</a></div></div></div><div>Rights</div>"
+    assert html_text.main_text(plain) == f"T\n{LONG}\nSh is.\none\ntwo"
+
+
+def test_short_lines_of_the_article():
+    assert html_text.main_text(f'<article><p>{LONG}<p class="related-work">Two<p id="ad-hoc">Three</article>') == f"{LONG}\nTwo\nThree"
+    gap = f"<nav><ul><li>a<li>b<li>c<li>d</ul></nav>"
+    assert html_text.main_text(f"<body><p>{LONG}<p>{LONG}{gap}<p>Closing.<footer>x</footer>") == f"{LONG}\n{LONG}\nClosing."
+    rows = "".join(f"<div><div><p>{t}</p></div></div>" for t in (LONG, "short", LONG))
+    assert html_text.main_text(f"<body><div>{rows}</div><div>Rights</div>") == f"{LONG}\nshort\n{LONG}"
+
+
+def test_boilerplate_inside_the_article():
+    """Entries that are nothing but links are no text, unless text surges around them."""
+    page = f"<article><h1><a>T</a></h1><p>{LONG}<ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><p>{LONG}<p>End.<div><a>Share</a></div><div><a>Tweet</a></div></article>"
+    assert html_text.main_text(page) == f"T\n{LONG}\n{LONG}\nEnd."
+
+
+def test_surges():
+    # half of the text is reached by sums of 96, of which a quarter is asked for
+    assert html_text.surges([0, 5, 0, 0, 0, 90, 1, 5, 0, 0, 3], 3) == [(3, 6)]
+    assert html_text.surges([0, 0], 3) == [] and html_text.surges([1], 3) == [(0, 1)]
+
+
+@pytest.mark.parametrize("part,n", [("<a x ", 200_000), ("<span>", 100_000), ("</b><i>", 100_000), ("<a b=\"", 100_000), ("<div>", 50_000), ("<p><b>x", 20_000), ("<ul><li>a", 20_000), ("<!--", 200_000)])
+def test_never_closed(part, n):
+    """Time grows with the length; quadratic steps would take minutes."""
+    began = time.process_time()
+    html_text.main_text(part * n)
+    html_text.main_text(part * n + "</b>" * n)
+    assert time.process_time() - began < 10
 
 
 def test_extract_rows(spark):
