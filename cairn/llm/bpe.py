@@ -16,10 +16,13 @@ from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from cairn.llm.common import small
+
 #: Fixed values of the tokenizer's definition: its split pattern, Unicode's white space, its word end.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -220,22 +223,28 @@ def encode(docs: DataFrame, model: str, ids: bool = True) -> DataFrame:
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_at(model)
-        for batch in arrow:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                found, hashes, texts = [], [], []
-                for x in part.column("text"):
-                    got = enc.encode(x.as_py() or "")
+        for batch in small(arrow):
+            found, lengths, hashes, texts = [], [], [], []
+            for x in batch.column("text"):
+                got = enc.encode(x.as_py() or "")
+                lengths.append(len(got))
+                hashes.append(hashlib.sha256(got.tobytes()).hexdigest())
+                texts.append(hashlib.sha256(enc.decode(got).encode()).hexdigest())
+                if ids:
                     found.append(got)
-                    hashes.append(hashlib.sha256(got.tobytes()).hexdigest())
-                    texts.append(hashlib.sha256(enc.decode(got).encode()).hexdigest())
-                columns = [part.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([x.tolist() for x in found], pa.list_(pa.int32()))] * ids, names)
+            columns = [batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [_lists(found)] * ids, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
 
 
+def _lists(found: list[array]) -> pa.ListArray:
+    """Ids of several texts as one column."""
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, text for rows of (doc_id, ids): the inverse of encode up to what the tokenizer drops. Null ids give empty texts."""
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from cairn.llm.common import written
+from cairn.llm.common import small, written
 
 WINDOW = 10
 #: Bytes of text in a shard and of items in a block, about: one text or item may hold more.
@@ -70,7 +70,7 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_bytes: i
             types = {"shard": pa.string(), "doc_ids": pa.list_(id_type), "n_words": pa.list_(pa.int32()), "terms": pa.list_(pa.string()), "ends": pa.list_(pa.int32()), "steps": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in types.items()], list(types))
 
-        for batch in arrow:
+        for batch in small(arrow):
             id_type = batch.column("doc_id").type
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 t = text.as_py()
@@ -209,7 +209,7 @@ def _searched(docs: DataFrame, windows: Windows, kind: str, shard_bytes: int) ->
     """A row for each document: merged [begin, end) spans of hit words, one behind the other, and the items found."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
+        for batch in small(arrow):
             id_type = batch.schema.field("doc_ids").type.value_type
             for row in batch.to_pylist():
                 shard = Shard(row)

@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.common import small
+
 UNKNOWN = "und"
 NS = (1, 2, 3)
 #: Most letters that get a number of their own while n-grams are counted densely.
@@ -108,7 +110,7 @@ def fit(docs: DataFrame, profile_size: int = 400, flush_grams: int = 300_000, mo
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "gram", "n"])
 
-        for batch in arrow:
+        for batch in small(arrow):
             texts: dict[str, list[str]] = {}
             size = 0
             for text, lang in zip(batch.column("text"), batch.column("lang")):
@@ -182,7 +184,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = nearest(profiles)
-        for batch in arrow:
+        for batch in small(arrow):
             found = [near(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 

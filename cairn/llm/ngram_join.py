@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from cairn.llm.common import connected, written
+from cairn.llm.common import connected, small, written
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Nodes of a candidate group that a block holds, about; columns of the incidence matrix multiplied at once; words remembered.
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 29) -
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
-        for batch in arrow:
+        for batch in small(arrow):
             sets, keys = [], []
             for x in batch.column("text"):
                 grams = shingles(x.as_py())
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
 
     def grams(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
-        for batch in arrow:
+        for batch in small(arrow):
             packed = pa.array([shingles(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), packed], [*kept, "grams"])
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import sampled
+from cairn.llm.common import sampled, small
 
 #: The score at which a document is predicted to be good.
 CUT = 0.7
@@ -112,7 +112,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the measures of every row of docs (doc_id, text)."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
+        for batch in small(arrow):
             rows = [features(x.as_py()) for x in batch.column("text")]
             columns = [pa.array(c, pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *MEASURES])
@@ -142,7 +142,7 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
+        for batch in small(arrow):
             rows = np.array([features(x.as_py()) for x in batch.column("text")], float).reshape(-1, len(MEASURES))
             s = ranker.scores(rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
