@@ -54,20 +54,61 @@ def test_toxicity_held_out(spark):
     assert accuracy(spark, queries.op4_toxicity, "toxic", "predicted") > 0.93
 
 
-def test_toxicity_reads_the_words_of_training():
-    texts = ["Well-known, l'eau — the,der,die: http://a.b/c?d=e", "one,two,three", "!? ...", "", "你好，世界。再见", "the " + "long,words;" * 40 + "x" * 300 + "-" + "x" * 300]
-    words = [toxicity._WORD.findall(t.lower()) for t in texts]
-    hashes = np.unique([h for w in sorted({w for ws in words for w in ws} - {"known"}) for h in toxicity.word_hashes(w)])
-    vectors = np.random.default_rng(0).normal(size=(len(hashes), toxicity.DIM)).astype(np.float32)
-    reader = toxicity.Reader(toxicity.Network(hashes, vectors, [], [], np.zeros(0), 0.0))
-    of = dict(zip(hashes.tolist(), vectors))
-    pad = [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
-    want = [v for ws in words for v in [*(sum([of[h] for h in toxicity.word_hashes(w) if h in of], np.zeros(toxicity.DIM)) for w in ws), *pad]]
+def test_toxicity_recall(spark):
+    """Held-out toxic documents caught, in every language, with few false alarms: calling all documents clean catches none."""
+    sf = SF.replace("0.01", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    out = queries.fold(F.col("doc_id"), 5) == 0
+    network = toxicity.fit(docs, labels.where(~out))
+    some = docs.join(labels.where(out).select("doc_id", "toxic"), "doc_id")
+    got = toxicity.score(some, network).join(some.select("doc_id", "lang", "toxic"), "doc_id").groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("hit")).collect()
+    n, hit = ({(r["lang"], r["toxic"]): r[c] for r in got} for c in ("n", "hit"))
+    langs = sorted({lang for lang, _ in n})
+    assert langs == ["de", "en", "es", "fr"]
+    for lang in langs:
+        assert hit[lang, 1] >= 0.9 * n[lang, 1] and hit[lang, 0] <= 0.04 * n[lang, 0], (lang, n, hit)
+    caught, alarms = sum(hit[x, 1] for x in langs), sum(hit[x, 0] for x in langs)
+    assert caught >= 0.9 * sum(n[x, 1] for x in langs) and caught >= 0.9 * (caught + alarms)
+
+
+def brute_logit(network, text):
+    """One text's logit: every filter at every place, and every sum of a wide one, in plain loops."""
+    of = dict(zip(network.hashes.tolist(), network.vectors))
+    words = [sum([of[h] for h in toxicity.word_hashes(w) if h in of], np.zeros(toxicity.DIM)) for w in toxicity._WORD.findall(text.lower())]
+    padded = [*words, *[np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)]
+    pools = []
+    for k, b in zip(network.kernels, network.biases):
+        for f in range(toxicity.FILTERS):
+            at = [sum(padded[i + j] @ k[j, :, f] for j in range(len(k))) for i in range(len(padded) - len(k) + 1)]
+            pools.append(max(0, max(at) + b[f]))
+    for f in range(toxicity.WIDE):
+        single = [max(0, w @ network.wide[:, f] + network.wide_bias[f]) for w in words]
+        pools.append(max([sum(single[i : i + toxicity.SPAN]) for i in range(len(single))], default=0))
+    return float(np.dot(pools, network.out) + network.bias)
+
+
+def test_toxicity_forward(spark):
+    """Scores against every filter at every place, for a network as learned and thresholds by language."""
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pandas()
+    labels = pq.read_table(f"{SF}/labels.parquet").to_pandas()
+    known = rows.merge(labels, on="doc_id").head(200)
+    network = toxicity.fit(spark.createDataFrame(known[["doc_id", "text", "lang"]]), spark.createDataFrame(known[["doc_id", "toxic"]]))
+    texts = [*rows.text[200:230], "", "!?", "one", "Well-known, l'eau — the,der,die: http://a.b/c?d=e", "你好，世界。再见", "x" * 300 + "-" + "long,words;" * 60]
+    reader = toxicity.Reader(network)
+    words, begins, language = reader.read(texts)
+    assert np.allclose(network.logits(words, begins), [brute_logit(network, t) for t in texts], atol=1e-3)
+    z = np.array([brute_logit(network, t) for t in texts]) - network.thresholds[language]
     for _ in range(2):
-        got, begins, languages = reader.read(texts)
-        assert got.shape == (len(want), toxicity.DIM) and np.allclose(got, want, atol=1e-5)
-        assert begins.tolist() == np.cumsum([0, *(len(ws) + len(pad) for ws in words)])[:-1].tolist()
-        assert [toxicity.LANGUAGES[i] for i in languages] == ["de", "other", "other", "other", "other", "en"]
+        assert np.allclose(toxicity.scores(network, reader, texts), 1 / (1 + np.exp(-z)), atol=1e-3)
+    told = [max(range(len(network.thresholds) - 1), key=lambda k: sum(network.languages.get(toxicity.word_hashes(w)[0]) == k for w in toxicity._WORD.findall(t.lower()))) for t in texts[:30]]
+    assert language[:30].tolist() == told and language[30] == language[31] == len(network.thresholds) - 1
+    assert (np.array(["de", "en", "es", "fr"])[language[:30]] == rows.lang[200:230]).mean() > 0.9
+
+
+def test_toxicity_long_texts():
+    words = [str(i) for i in range(23)]
+    assert toxicity.pieces(words, 10, 5) == [words[:10], words[10:20], words[20:]] and toxicity.pieces([], 10, 5) == [[]]
+    assert toxicity.pieces(words, 2, 3) == [words[:2], words[10:12], words[22:]]
 
 
 def test_language_held_out(spark):
