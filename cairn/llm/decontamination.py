@@ -4,6 +4,7 @@ The index is sharded by documents: a shard lists, for each term of a group of do
 which it stands, so that building it needs no shuffle and no term's list meets in one task. A phrase is
 looked up from its rarest term in the shard: that term's list, moved back by the term's offset, is
 intersected with the moved lists of the other terms, the next rarest first. What is left are the phrase's beginnings.
+The index is written once, and all that is asked of it reads it there: documents are read once, however many items there are.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from cairn.llm.common import small, written
 
 WINDOW = 10
-#: Bytes of text in a shard and of items in a block, about: one text or item may hold more.
-SHARD_BYTES, BLOCK_BYTES = 2_000_000, 600_000
+#: Bytes of text in a shard and of items in a block, about: one text or item may hold more. Terms of all items that are sent
+#: to every task, at most; beyond, all terms are indexed. Candidate beginnings that are looked at together.
+SHARD_BYTES, BLOCK_BYTES, MOST_TERMS, CANDIDATES = 2_000_000, 4_000_000, 1_000_000, 1_000_000
 #: Fixed value: words, in the UTF-8 of a text whose A-Z are lower-cased.
 _WORD = regex.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -36,7 +38,8 @@ def words(text: str | None) -> list[bytes]:
 def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for each shard of docs (doc_id, text): its documents, their word counts, its terms and their positions.
 
-    With `terms`, only these are indexed; they are sent to every task. Positions count through the shard's
+    With `terms`, only these are indexed; they are sent to every task. Null and empty texts have no positions; repeated rows and
+    null ids are rows of their own; a very long text is a shard of its own. Positions count through the shard's
     documents, with one left free behind each, so that no phrase spans two. `steps` holds each position less the
     one before it, all terms' lists behind each other; `ends` where each list ends.
     """
@@ -98,6 +101,9 @@ class Shard:
         ends = row["ends"]
         self.span = {t.encode(): (b, e) for t, b, e in zip(row["terms"], [0, *ends[:-1]], ends)}
 
+    def __len__(self) -> int:
+        return int(self.starts[-1] + self.n_words[-1]) + 1
+
     def postings(self, term: bytes) -> np.ndarray:
         b, e = self.span.get(term, (0, 0))
         return self.at[b:e]
@@ -130,7 +136,10 @@ class Shard:
 
 
 def phrase_matches(index: DataFrame, phrases: dict[str, str], slop: int = 0) -> DataFrame:
-    """doc_id, phrase (its name), first, last: every exact match, or with slop proximity match, of a few phrases; word positions count from 0."""
+    """doc_id, phrase (its name), first, last: every exact match, or with slop proximity match, of a few phrases; word positions count from 0.
+
+    Phrases without words have no match; repeated rows and null ids are matched row by row.
+    """
     wanted = {name: words(text) for name, text in phrases.items()}
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,50 +160,98 @@ def phrase_matches(index: DataFrame, phrases: dict[str, str], slop: int = 0) ->
 
 
 class Windows:
-    """The distinct windows of a block of items, as rows of term numbers, and each one's items."""
+    """The windows of a block of items: places in the row of all the items' terms, with their sizes and items."""
 
     def __init__(self, items: list[Row], window: int):
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for r in items:
-            w = words(r["text"])
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + window]), set()).update([str(r["item_id"])] if r["item_id"] is not None else [])
-        self.items: dict[tuple[bytes, ...], tuple[str, ...]] = {w: tuple(ids) for w, ids in found.items()}
-        self.terms = sorted({t for w in self.items for t in w})
-        number = {t: i for i, t in enumerate(self.terms)}
-        # shorter windows repeat their last term's number
-        self.list = list(self.items)
-        self.matrix = np.array([[number[t] for t in w] + [number[w[-1]]] * (window - len(w)) for w in self.list], np.int64).reshape(-1, window)
-
-    def found(self, shard: Shard) -> Iterator[tuple[tuple[bytes, ...], np.ndarray]]:
-        """Windows and where they begin; those with a term that the shard lacks are left out at once."""
-        n = np.array([e - b for b, e in (shard.span.get(t, (0, 0)) for t in self.terms)], np.int64)
-        for i in np.flatnonzero(n[self.matrix].min(axis=1) > 0) if len(self.list) else ():
-            begin = shard.phrase(list(self.list[i]))
-            if len(begin):
-                yield self.list[i], begin
+        texts = [w for r in items if (w := words(r["text"]))]
+        self.window = window
+        self.items = [None if r["item_id"] is None else str(r["item_id"]) for r in items if words(r["text"])]
+        self.number = {t: i for i, t in enumerate(sorted({t for w in texts for t in w}))}
+        # the last number is that of no term, behind the last item
+        self.terms = np.array([*(self.number[t] for w in texts for t in w), *[len(self.number)] * window], np.int64)
+        lengths = np.array([len(w) for w in texts], np.int64)
+        each = np.maximum(1, lengths - window + 1)
+        self.item = np.repeat(np.arange(len(texts)), each)
+        self.begin = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each - (np.cumsum(lengths) - lengths), each)
+        self.size = np.minimum(lengths, window)[self.item]
+
+    def found(self, shard: Shard) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows and where they begin in the shard, for many windows at a time."""
+        n = len(self.number)
+        first, count = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        #: Of each place in the shard its term: the lists of all terms in one.
+        term_at = np.full(len(shard) + self.window, -1, np.int64)
+        for t, (b, e) in shard.span.items():
+            if (i := self.number.get(t)) is not None:
+                first[i], count[i] = b, e - b
+                term_at[shard.at[b:e]] = i
+        # a place behind a short window's end is never the rarest
+        count[n] = np.iinfo(np.int64).max
+        rarest = count[self.terms[self.begin]]
+        for i in range(1, self.window):
+            np.minimum(rarest, np.where(i < self.size, count[self.terms[self.begin + i]], count[n]), out=rarest)
+        live = np.flatnonzero(rarest > 0)
+        # a window costs some room of its own, besides its candidates
+        room = np.cumsum(rarest[live] + 2 * self.window)
+        cuts = np.searchsorted(room, np.arange(CANDIDATES, (int(room[-1]) if len(room) else 0) + CANDIDATES, CANDIDATES))
+        for some in np.split(live, cuts):
+            if len(some):
+                yield self._matched(some, first, count, term_at, shard.at)
+
+    def _matched(self, some: np.ndarray, first: np.ndarray, count: np.ndarray, term_at: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rarest terms' lists, moved back by their offsets and intersected with the others', the next rarest first."""
+        offsets = np.arange(self.window)
+        terms = self.terms[self.begin[some][:, None] + offsets]
+        terms[offsets >= self.size[some][:, None]] = len(self.number)
+        order = np.argsort(count[terms], axis=1, kind="stable")
+        rows = np.arange(len(some))
+        lead = terms[rows, order[:, 0]]
+        n = count[lead]
+        which = np.repeat(rows, n)
+        begin = at[np.arange(int(n.sum())) + np.repeat(first[lead] - (np.cumsum(n) - n), n)] - order[which, 0]
+        ok = begin >= 0
+        which, begin = which[ok], begin[ok]
+        for k in range(1, self.window):
+            offset = order[which, k]
+            ok = (offset >= self.size[some[which]]) | (term_at[begin + offset] == terms[which, offset])
+            which, begin = which[ok], begin[ok]
+        return some[which], begin
 
 
 def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Row]]:
-    """The items in blocks of about block_bytes of text, chosen by the ids' hash; only one block is in the driver at a time."""
+    """The items in blocks of about block_bytes of text, chosen by the hash of id and text; only one block is in the driver at a time."""
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // block_bytes
     for i in range(n):
         part = items.select("item_id", "text").where("text is not null")
-        yield (part.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) if n > 1 else part).collect()
+        yield (part.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else part).collect()
+
+
+def vocabulary(items: DataFrame, most_terms: int = MOST_TERMS) -> set[bytes] | None:
+    """The terms of all items, or None if there are more than most_terms."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(arrow):
+            found = sorted({w for x in batch.column("text") for w in words(x.as_py())})
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string())], ["term"])
 
+    found = items.select("text").mapInArrow(run, "term string").distinct().limit(most_terms + 1).toArrow()["term"].to_pylist()
+    return None if len(found) > most_terms else {t.encode() for t in found}
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, most_terms: int = MOST_TERMS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text), against items (item_id, text).
 
     A window is `window` consecutive words of an item, or a shorter item's words; a document's word inside
-    any occurrence of one is hit. Items go in blocks of bounded size over an index of each block's terms; one
-    block needs no shuffle, more of them are put together by document. Null and empty texts have no words and
+    any occurrence of one is hit. The index of docs is written once, with the items' terms or, if these are more than
+    most_terms, all. Items are looked up in it in blocks of bounded size; one block needs no shuffle, more of them
+    are put together by a document's place in the written index. Null and empty texts have no words and
     null and empty items no windows; null item ids hit words but aren't listed; repeated rows and null doc ids are
-    searched row by row; other columns are ignored.
+    searched row by row; other columns are ignored. A very long text is a shard of its own, held by one task.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = [_searched(docs, Windows(block, window), kind, shard_bytes) for block in item_blocks(items, block_bytes)]
+    index = written(build_index(docs, vocabulary(items, most_terms), shard_bytes))
+    parts = [searched(index, Windows(block, window)) for block in item_blocks(items, block_bytes)]
     if len(parts) == 1:
         merged = parts[0].select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
     else:
@@ -205,22 +262,24 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
     return merged.mapInArrow(_digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def _searched(docs: DataFrame, windows: Windows, kind: str, shard_bytes: int) -> DataFrame:
-    """A row for each document: merged [begin, end) spans of hit words, one behind the other, and the items found."""
+def searched(index: DataFrame, windows: Windows) -> DataFrame:
+    """A row for each document of an index: merged [begin, end) spans of hit words, one behind the other, and the items found."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(arrow):
+        for batch in arrow:
             id_type = batch.schema.field("doc_ids").type.value_type
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 shard = Shard(row)
-                hit = np.zeros(int(shard.starts[-1] + shard.n_words[-1]) + 2, np.int32)
+                edges = np.zeros(len(shard) + windows.window, np.int64)
                 items: list[set[str]] = [set() for _ in shard.doc_ids]
-                for terms, begin in windows.found(shard):
-                    np.add.at(hit, begin, 1)
-                    np.add.at(hit, begin + len(terms), -1)
-                    for d in np.unique(shard.doc_of(begin)).tolist():
-                        items[d].update(windows.items[terms])
-                edge = np.flatnonzero(np.diff((np.cumsum(hit) > 0).astype(np.int8), prepend=0))
+                for which, begin in windows.found(shard):
+                    edges += np.bincount(begin, minlength=len(edges)) - np.bincount(begin + windows.size[which], minlength=len(edges))
+                    pairs = np.unique(shard.doc_of(begin) * len(windows.items) + windows.item[which])
+                    for d, item in zip(*(x.tolist() for x in np.divmod(pairs, len(windows.items)))):
+                        if windows.items[item] is not None:
+                            items[d].add(windows.items[item])
+                edge = np.flatnonzero(np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0))
                 owner = shard.doc_of(edge[::2])
                 spans: list[list[int]] = [[] for _ in items]
                 for d, b, e in zip(owner.tolist(), edge[::2].tolist(), edge[1::2].tolist()):
@@ -229,7 +288,7 @@ def _searched(docs: DataFrame, windows: Windows, kind: str, shard_bytes: int) ->
                 columns = [pa.array([row["shard"]] * n), pa.array(range(n), pa.int32()), pa.array(shard.doc_ids, id_type), pa.array(shard.n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "doc_id", "n_words", "spans", "items"])
 
-    index = written(build_index(docs, set(windows.terms), shard_bytes))
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
     return index.mapInArrow(run, f"shard string, slot int, doc_id {kind}, n_words long, spans array<long>, items array<string>")
 
 
@@ -250,6 +309,15 @@ def _digest(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def clean(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated. Rows with a null id stay."""
-    hit = contamination(docs, items, **parameters).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    """The rows of docs, all columns, that aren't contaminated.
+
+    Rows are judged one by one, those that repeat an id or have none too: a row is told by its id and its text's hashes
+    and length together. Null and empty texts stay. Only contaminated rows' ids and hashes meet docs again.
+    """
+    told = ("doc_id", "text_hash", "text_sum", "n_bytes")
+    sums = F.xxhash64("text").alias("text_hash"), F.crc32(F.col("text").cast("binary")).alias("text_sum"), F.octet_length("text").alias("n_bytes")
+    rows = docs.where("text is not null").select(F.struct("doc_id", *sums).alias("doc_id"), "text")
+    hit = contamination(rows, items, **parameters).where("contaminated").select("doc_id.*").distinct()
+    hit = hit.toDF(*(f"_hit_{c}" for c in told))
+    same = [F.col("doc_id").eqNullSafe(F.col("_hit_doc_id")), sums[0] == F.col("_hit_text_hash"), sums[1] == F.col("_hit_text_sum"), sums[2] == F.col("_hit_n_bytes")]
+    return docs.join(hit, same, "left_anti")

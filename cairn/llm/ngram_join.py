@@ -21,8 +21,9 @@ from xxhash import xxh64_intdigest
 from cairn.llm.common import connected, small, written
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.999
-#: Nodes of a candidate group that a block holds, about; columns of the incidence matrix multiplied at once; words remembered.
-BLOCK, COLUMNS, CACHE_ENTRIES = 192, 8192, 100_000
+#: Nodes and bytes of n-grams that a block of a candidate group holds, about, and blocks of a group beyond which they grow: the
+#: more nodes in a block, the less often each is sent. Columns of the incidence matrix multiplied at once; words remembered.
+BLOCK, BLOCK_BYTES, MANY_BLOCKS, COLUMNS, CACHE_ENTRIES = 192, 16_000_000, 64, 8192, 100_000
 
 
 def plan_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = 128) -> tuple[int, int]:
@@ -75,21 +76,22 @@ def signature(grams: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 29) -> DataFrame:
-    """doc_id, set_hash (null without n-grams), bands (a hash for each) for every row of docs with an id."""
+    """doc_id, set_hash (null without n-grams), n_grams, bands (a hash for each) for every row of docs with an id."""
     multipliers = np.random.default_rng(seed).integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for batch in small(arrow):
-            sets, keys = [], []
+            sets, sizes, keys = [], [], []
             for x in batch.column("text"):
                 grams = shingles(x.as_py())
+                sizes.append(len(grams))
                 sets.append(hashlib.blake2b(grams.tobytes(), digest_size=16).hexdigest() if len(grams) else None)
                 keys.append([xxh64_intdigest(part.tobytes(), seed=b) - 2**63 for b, part in enumerate(signature(grams, multipliers).reshape(bands, rows))] if len(grams) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "set_hash", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "set_hash", "n_grams", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, set_hash string, bands array<long>")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, set_hash string, n_grams long, bands array<long>")
 
 
 def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
@@ -134,19 +136,20 @@ def compare(nodes: np.ndarray, first: np.ndarray, second: np.ndarray, copies: np
         root = low
 
 
-def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, whole_blocks: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its near-duplicates and theirs), n_links (documents at least `similarity` alike) for every row of docs (doc_id, text).
 
     Similarity is the Jaccard similarity of the sets of n-word n-grams. Pairs that share no band, at most
     1 - recall of those at the threshold, may be missed unless others bring them into one group; every pair of a
-    group is compared, however large it is (whole_blocks, once a limit to that, is accepted and has no effect).
+    group is compared, however large it is. A group's blocks hold about `block` texts, up to four times as many where there
+    are more than MANY_BLOCKS blocks, and BLOCK_BYTES of n-grams, or one longer text; a task holds two blocks.
     Texts without words (null, empty) are alone in their classes. doc_id must be an integer:
     rows that repeat an id share a class, and identical repeats count as copies; rows with a null id have a null
     class and 0 links. Other columns are ignored.
     """
     bands, rows = plan_bands(similarity, recall)
     signed = written(signatures(docs, n, bands, rows))
-    sets = written(signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
+    sets = written(signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams")))
 
     one = signed.select("doc_id", "set_hash", "bands").join(sets.select(F.col("node").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"])
     one = one.select(F.col("doc_id").alias("node"), "bands")
@@ -155,8 +158,11 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
     edges = banded.join(hubs, "bucket").where("node <> hub").select("node", "hub")
     groups = connected(edges, "node", "hub")
 
-    size = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    members = groups.join(size, "root").join(sets.groupBy("node").agg(F.sum("copies").alias("copies")), "node")
+    counted = groups.join(sets.groupBy("node").agg(F.sum("copies").alias("copies"), F.sum("n_grams").alias("n_grams")), "node")
+    nodes, grams_bytes = F.count("*"), 8 * F.sum("n_grams")
+    held = F.least(F.lit(4 * block), F.greatest(F.lit(block), nodes / MANY_BLOCKS))
+    size = counted.groupBy("root").agg(F.ceil(F.greatest(nodes / held, grams_bytes / BLOCK_BYTES)).cast("int").alias("n_blocks"))
+    members = counted.drop("n_grams").join(size, "root")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
 
     def grams(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +199,8 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs, all columns, that keep one document of each class: the one with the smallest id.
 
-    Of rows that repeat a kept id one stays. Rows with a null id stay.
+    Rows that repeat a kept id stay if their texts differ; of those with equal texts one stays, whichever. Rows with a null id stay.
     """
-    firsts = near_duplicates(docs, **parameters).where("class_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null")
-    return named.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    firsts = near_duplicates(docs, **parameters).where("class_id = doc_id").select(F.col("doc_id").alias("_first")).distinct()
+    named = docs.where("doc_id is not null").join(firsts, F.col("doc_id") == F.col("_first"), "left_semi")
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))

@@ -6,7 +6,6 @@ changes, comes from the ledger by bitwise operations and never from the texts ag
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +21,10 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 WINDOW = 5
 #: What counts as a word and as a symbol.
 WORD, SYMBOLS = regex.compile(r"[^ \t-\r]+"), "#*$%&|<>"
+_SPACE = regex.compile(r"[ \t-\r]")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of a text whose words are strings at a time, about.
+STRETCH = 1_000_000
 
 #: Rules in bit order: name, and what fails. The order never changes; new rules are appended.
 RULES: tuple[tuple[str, str], ...] = (
@@ -51,33 +54,73 @@ BASE = Policy("base-1", ("few_words", "repeated_words"))
 POLICIES = {p.version: p for p in (BASE, Policy("2", ("few_words", "repeated_words", "short_words", "long_words", "symbols", "repeated_lines")))}
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A text in parts of about STRETCH characters that begin at white space, so that no word is cut."""
+    begin = 0
+    while begin < len(text):
+        m = _SPACE.search(text, begin + STRETCH)
+        end = m.start() if m else len(text)
+        yield text[begin:end] if end - begin < len(text) else text
+        begin = end
+
+
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
-    """The five measurements of a whole text; null has no words."""
-    words = WORD.findall(text or "")
-    if not words:
-        return 0, 0, sum(map((text or "").count, SYMBOLS)), 0, 0
+    """The five measurements of a whole text; null has no words. Words are held as numbers, not as strings."""
+    text = text or ""
+    number: dict[str, int] = {}
+    parts, chars = [], 0
+    for part in stretches(text):
+        words = WORD.findall(part)
+        chars += sum(map(len, words))
+        parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+    words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    # with no word twice no window is
+    n_repeat = repeated(words) if len(number) < len(words) else 0
+    return len(words), chars, sum(map(text.count, SYMBOLS)), dup_lines(text), n_repeat
+
+
+def dup_lines(text: str) -> int:
+    """Lines with a word that equal an earlier line."""
+    n = begin = 0
     seen: set[str] = set()
-    dup_lines = 0
-    if "\n" in text:
-        for line in text.split("\n"):
-            if line in seen:
-                dup_lines += WORD.search(line) is not None
-            else:
-                seen.add(line)
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup_lines, repeated(words)
-
-
-def repeated(words: list[str], n: int = WINDOW) -> int:
-    """Words inside windows of n words that occur twice or more in the text, the first occurrence included."""
-    windows = list(zip(*(words[i:] for i in range(n))))
-    if len(set(windows)) == len(windows):
+    while "\n" in text and begin <= len(text):
+        end = text.find("\n", begin)
+        end = len(text) if end < 0 else end
+        line = text[begin:end]
+        if line in seen:
+            n += WORD.search(line) is not None
+        seen.add(line)
+        begin = end + 1
+    return n
+
+
+def repeated(words: np.ndarray, n: int = WINDOW) -> int:
+    """Words inside windows of n words that occur twice or more, the first occurrence included. words: equal numbers for equal words.
+
+    Windows are hashed and sorted; those with equal hashes are compared word by word.
+    """
+    size = len(words) - n + 1
+    if size < 2:
+        return 0
+    h = np.zeros(size, np.uint64)
+    for i in range(n):
+        h = (h ^ words[i : i + size].astype(np.uint64)) * _MIX
+        h ^= h >> np.uint64(32)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    if not same.any():
         return 0
-    counts = Counter(windows)
-    starts = np.fromiter((counts[w] > 1 for w in windows), np.int64, len(windows))
-    inside = np.zeros(len(words) + 1, np.int64)
-    inside[: len(starts)] += starts
-    inside[n : n + len(starts)] -= starts
-    return int((np.cumsum(inside[:-1]) > 0).sum())
+    a, b = order[:-1][same], order[1:][same]
+    if any((words[a + i] != words[b + i]).any() for i in range(n)):
+        # two different windows with one hash: sort the windows themselves
+        order = np.lexsort([words[i : i + size] for i in range(n)])
+        same = np.logical_and.reduce([words[order[1:] + i] == words[order[:-1] + i] for i in range(n)])
+        a, b = order[:-1][same], order[1:][same]
+    starts = np.zeros(len(words), np.int64)
+    starts[a] = starts[b] = 1
+    inside = np.cumsum(starts)
+    inside[n:] -= inside[:-n].copy()
+    return int((inside > 0).sum())
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -107,7 +150,7 @@ def fails(failed: Column, policy: Policy) -> Column:
 
 
 def verdicts(rows: DataFrame, version: str = "2") -> DataFrame:
-    """The ledger with base_failed and kept under a policy version."""
+    """A ledger's rows with base_failed and kept under a policy version; null ids and repeated rows are judged row by row."""
     base = fails(F.col("failed"), BASE)
     return rows.select("doc_id", *MEASURES, base.alias("base_failed"), (~base & ~fails(F.col("failed"), POLICIES[version])).alias("kept"), "failed")
 
@@ -115,7 +158,7 @@ def verdicts(rows: DataFrame, version: str = "2") -> DataFrame:
 def ablations(rows: DataFrame, version: str = "2") -> DataFrame:
     """A row for each rule of a policy: documents that fail it, that fail it alone, and that the policy keeps with and without it.
 
-    The ledger is first counted by its bits, of which there are at most 2 ** len(RULES) kinds.
+    The ledger is first counted by its bits, of which there are at most 2 ** len(RULES) kinds. An empty ledger gives no rows.
     """
     policy = POLICIES[version]
     kinds = rows.groupBy(F.col("failed").bitwiseAND(F.lit(policy.mask)).alias("bits")).agg(F.count("*").alias("n"))

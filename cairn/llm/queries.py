@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, decontamination, html_text, language_id, ngram_join, quality_classifier, quality_rules, token_counts, toxicity, warc
-from cairn.llm.common import fold
+from cairn.llm.common import fold, written
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -60,7 +60,30 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents"))).drop("failed")
+    return quality_rules.verdicts(stored_ledger(spark, sf_dir))
+
+
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' ledger as a table: policies and ablations never read texts again."""
+    return written(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version does, from one ledger."""
+    ledger = stored_ledger(spark, sf_dir)
+    each = [quality_rules.ablations(ledger, v).select(F.lit(v).alias("version"), "*") for v in sorted(quality_rules.POLICIES)]
+    return each[0].unionByName(each[1])
+
+
+#: Two words of each language that often stand near each other, in this order.
+NEAR = {"en": "the of", "de": "der die", "es": "de la", "fr": "de le"}
+
+
+def word_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of documents where the words of a phrase stand in order with at most three others between, from a positional index."""
+    terms = {w for p in NEAR.values() for w in decontamination.words(p)}
+    index = written(decontamination.build_index(table(spark, sf_dir, "documents"), terms))
+    return decontamination.phrase_matches(index, NEAR, slop=3)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +101,11 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "rule_ablations": rule_ablations,
+    "word_proximity": word_proximity,
 }
 
-OP8_SQL = r"""
+LEDGER_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), lines AS (
@@ -100,7 +125,35 @@ WITH d AS (
 ), b AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
 )
-SELECT *, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * n_symbols > n_words OR 20 * n_dup_lines > n_words) AS kept FROM b
+SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+  + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 8 ELSE 0 END
+  + CASE WHEN 2 * n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN 20 * n_dup_lines > n_words THEN 32 ELSE 0 END)::INTEGER AS failed FROM b
+"""
+OP8_SQL = f"SELECT *, failed = 0 AS kept FROM ({LEDGER_SQL})"
+
+ABLATIONS_SQL = f"""
+WITH ledger AS (
+  {LEDGER_SQL}
+), rules AS (
+  SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('short_words', 4), ('long_words', 8), ('symbols', 16), ('repeated_lines', 32)) r(rule, bit)
+), policies AS (
+  SELECT * FROM (VALUES ('2', 63), ('base-1', 3)) p(version, mask)
+)
+SELECT version, rule, bit, count(*) FILTER (failed & bit > 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_failed_alone,
+  count(*) FILTER (failed & mask = 0) AS n_kept, count(*) FILTER (failed & mask & ~bit = 0) AS n_kept_without
+FROM ledger, rules, policies WHERE bit & mask > 0 GROUP BY ALL
+"""
+
+PROXIMITY_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM documents
+), places AS (
+  SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM w
+), phrases AS (
+  SELECT * FROM (VALUES ('en', 'the', 'of'), ('de', 'der', 'die'), ('es', 'de', 'la'), ('fr', 'de', 'le')) p(phrase, x, y)
+)
+SELECT doc_id, phrase, i - 1 AS first, i - 1 + k AS last
+FROM (SELECT doc_id, phrase, i, list_position(a[i + 1:i + 4], y) AS k FROM places JOIN phrases ON a[i] = x) WHERE k > 0
 """
 
 OP6_SQL = r"""
@@ -165,4 +218,6 @@ ORACLE_SQL = {
     "op3_warc": OP3_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
+    "rule_ablations": ABLATIONS_SQL,
+    "word_proximity": PROXIMITY_SQL,
 }

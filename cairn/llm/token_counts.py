@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters handed to the library at once, and the length beyond which a text is cut into parts.
-BATCH_CHARS, PART_CHARS = 2_000_000, 200_000
+from cairn.llm.common import small
+
+#: UTF-8 bytes handed to the library at once, about, and the characters beyond which a text is cut into parts.
+BATCH_BYTES, PART_CHARS = 2_000_000, 200_000
 #: The library's mark for a space.
 MARK = "▁"
 
@@ -46,27 +48,28 @@ def check_marks(processor) -> None:
             raise ValueError("a piece spans a space; texts can't be cut there")
 
 
-def batches(texts: Iterator[tuple[int, str]], batch_chars: int) -> Iterator[tuple[list[int], list[str]]]:
-    """(row, part) pairs in batches of about equal characters."""
+def batches(texts: Iterator[tuple[int, str]], batch_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(row, part) pairs in batches of about equal bytes."""
     rows, parts, size = [], [], 0
     for row, text in texts:
         for part in safe_parts(text):
             rows.append(row)
             parts.append(part)
-            size += len(part)
-            if size >= batch_chars:
+            size += len(part) if part.isascii() else len(part.encode("utf-8", "surrogatepass"))
+            if size >= batch_bytes:
                 yield rows, parts
                 rows, parts, size = [], [], 0
     if parts:
         yield rows, parts
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = 4096, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def token_counts(docs: DataFrame, model: str, limit: int = 4096, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text), in one pass without a shuffle.
 
     model: a sentencepiece file's name among the public tokenizers, or its path. Null and empty texts
     have no bytes and no tokens; repeated rows and null ids are counted row by row; other columns are
-    ignored. Very long texts are cut at safe places, so memory follows batch_chars and not the text.
+    ignored. Very long texts are cut at safe places, so memory follows batch_bytes and not the text;
+    a text without a safe place is held whole.
     """
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +81,11 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, batch_chars: in
         at = model if os.path.isabs(model) else public_tokenizers.path(model)
         processor = sentencepiece.SentencePieceProcessor(model_file=at)
         check_marks(processor)
-        for batch in arrow:
+        for batch in small(arrow):
             texts = batch.column("text")
             counts = [0] * batch.num_rows
             whole = ((i, t) for i, x in enumerate(texts) if (t := x.as_py()))
-            for rows, parts in batches(whole, batch_chars):
+            for rows, parts in batches(whole, batch_bytes):
                 for row, ids in zip(rows, processor.encode(parts, num_threads=1)):
                     counts[row] += len(ids)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

@@ -26,8 +26,10 @@ from cairn.llm.common import shared_dir, written
 MAGIC, END, VERSION = b"\x1f\x8b\x08", b"\r\n\r\n", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_URN = "urn:cairn:page:"
-#: Bytes of an archive after which a task begins another; of a split; read at once; and most of a record's headers.
-ARCHIVE_BYTES, SPLIT_BYTES, READ_BYTES, HEAD_BYTES = 256_000_000, 8_000_000, 1_000_000, 65_536
+#: Bytes of an archive after which a task begins another; of a split; and read at once.
+ARCHIVE_BYTES, SPLIT_BYTES, READ_BYTES = 256_000_000, 8_000_000, 1_000_000
+#: Digests of several rows that are sent to every task, at most: some 100 bytes each.
+SENT_DIGESTS = 300_000
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -62,20 +64,22 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, sent_digests: int = SENT_DIGESTS) -> DataFrame:
     """Archives of pages (page_id, url, html), a record for each row; returns path, bytes, records of each archive.
 
     The payload is the html in UTF-8, empty if null. Of equal payloads of least_bytes or more, the row with the
     largest page_id is the response and the others revisit it; smaller payloads are all responses, and so are
     rows that repeat a response's id or have equal payloads and no id at all. Digests find equal payloads; those with
-    several rows are written first, so that the join's sides are plain shuffles, of which AQE splits a digest that
-    very many rows share. Other columns are ignored.
+    several rows are written first and counted: up to sent_digests of them go to every task, and no payload is
+    shuffled; more are joined, where AQE splits a digest that very many rows share. Null and empty tables, urls and ids are
+    written as they are; a payload is held whole by one task; other columns are ignored.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    keys = pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).alias("size")).where(F.col("size") >= least_bytes)
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"))
+    keys = pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest"), F.length(payload).alias("size")).where(F.col("size") >= least_bytes)
     keepers = keys.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("digest", "keeper")
     keepers = written(keepers)
+    keepers = F.broadcast(keepers) if keepers.count() <= sent_digests else keepers
     marked = rows.join(keepers, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +112,7 @@ class Range:
     """A file's bytes from a place on, read as far as they are asked for and forgotten behind."""
 
     def __init__(self, file, begin: int):
-        self.file, self.begin, self.held, self.over = file, begin, b"", False
+        self.file, self.begin, self.held, self.over = file, begin, bytearray(), False
         file.seek(begin)
 
     def upto(self, end: int) -> None:
@@ -119,9 +123,10 @@ class Range:
             self.held += got
 
     def forget(self, at: int) -> None:
-        """Drop what lies before a place, once it is worth the copy of the rest."""
+        """Drop what lies before a place."""
         if at - self.begin > READ_BYTES:
-            self.held, self.begin = self.held[at - self.begin :], at
+            del self.held[: at - self.begin]
+            self.begin = at
 
     def find(self, what: bytes, at: int, end: int) -> int:
         """The first place from `at` on and before `end` where `what` begins, or -1."""
@@ -138,7 +143,7 @@ class Range:
         try:
             while not z.eof and (most is None or n < most):
                 self.upto(place + step)
-                part = memoryview(self.held)[place - self.begin : place - self.begin + step]
+                part = bytes(self.held[place - self.begin : place - self.begin + step])
                 if not part:
                     return None if most is None else (b"".join(out), place)
                 out.append(z.decompress(part, (most - n) if most else 0))
@@ -157,49 +162,65 @@ class Record:
     block: bytes
 
 
-def parsed(data: bytes) -> Record | None:
-    """A record from its bytes, if it is whole: its headers can be read and its block has the length they say."""
-    if not data.startswith(VERSION) or (i := data.find(END)) < 0:
-        return None
-    head = {}
-    for line in data[:i].decode("utf-8", "replace").split("\r\n")[1:]:
-        k, colon, v = line.partition(":")
-        if not colon:
+@dataclass(frozen=True)
+class Corrupt:
+    """A member that begins as a record does, and can't be read to its end."""
+
+    at: int
+
+
+def parsed(data: bytes) -> list[Record] | None:
+    """The records of a member, one behind the other, if they are whole: headers can be read and blocks have the lengths they say."""
+    out, begin = [], 0
+    while begin < len(data):
+        if not data.startswith(VERSION, begin) or (i := data.find(END, begin)) < 0:
+            return None
+        head = {}
+        for line in data[begin:i].decode("utf-8", "replace").split("\r\n")[1:]:
+            k, colon, v = line.partition(":")
+            if not colon:
+                return None
+            head[k.strip().lower()] = v.strip()
+        if "warc-type" not in head or not head.get("content-length", "").isdigit():
+            return None
+        block = i + len(END)
+        begin = block + int(head["content-length"])
+        if not data.startswith(END, begin):
             return None
-        head[k.strip().lower()] = v.strip()
-    if "warc-type" not in head or not head.get("content-length", "").isdigit():
-        return None
-    block = data[i + len(END) :]
-    n = int(head["content-length"])
-    return Record(head, block[:n]) if block[n:] == END else None
+        out.append(Record(head, data[block:begin]))
+        begin += len(END)
+    return out
 
 
-def records(file, begin: int, end: int) -> Iterator[Record]:
-    """The records that start in [begin, end) of an archive.
+def records(file, begin: int, end: int) -> Iterator[Record | Corrupt]:
+    """The records of members that start in [begin, end) of an archive, and such members that are broken.
 
-    Every place with the magic of a gzip member is a candidate. It is a record if what the member unpacks
-    to begins as a record does, if it unpacks whole with the right check sum, and if the headers can be
-    read and fit the length. The scan goes on behind a record, and one byte further after a candidate that is none.
+    Every place with the magic of a gzip member is a candidate. It is a member of records if what it unpacks
+    to begins as a record does, if it unpacks whole with the right check sum, and if all headers can be
+    read and fit the lengths. The scan goes on behind a member, and one byte further after a candidate that is none.
     """
     source, at = Range(file, begin), begin
     while at < end and (at := source.find(MAGIC, at, end)) >= 0:
         source.forget(at)
         first = source.unpacked(at, len(VERSION))
-        whole = source.unpacked(at) if first and first[0].startswith(VERSION) else None
+        begins = first is not None and first[0].startswith(VERSION)
+        whole = source.unpacked(at) if begins else None
         found = parsed(whole[0]) if whole else None
-        if found:
-            yield found
+        yield from found or ([Corrupt(at)] if begins else [])
         at = whole[1] if found else at + 1
 
 
 def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
-    """A row for each record of archives (path, bytes): record_id, record_type, target_uri, date, payload_digest, refers_to, payload_bytes and, if asked for, payload.
+    """A row for each record of archives (path, bytes): record_id, record_type, target_uri, date, payload_digest, refers_to, payload_bytes, error and, if asked for, payload.
 
     Tasks take byte ranges of split_bytes and own the records that start inside, so an archive of any size is
     read in parallel; a record that reaches over its range's end is read on. Digest and length of a response are those of the
-    payload as read, of a revisit those that its headers give for the full payload; its payload is null.
+    payload as read, of a revisit those that its headers give for the full payload; its payload is null. A member may hold several
+    records, which belong to the task where it starts. One that is broken or cut off gives a row with `error` alone, and what
+    follows is read on; bytes between members that begin no record are skipped. Archives listed twice are read twice;
+    memory holds a split and one member, whatever the archive's size.
     """
-    names = ["record_id", "record_type", "target_uri", "date", "payload_digest", "refers_to", "payload_bytes"] + ["payload"] * payload
+    names = ["record_id", "record_type", "target_uri", "date", "payload_digest", "refers_to", "payload_bytes", "error"] + ["payload"] * payload
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
@@ -208,7 +229,7 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payload:
                 with filesystem.open_input_file(at) as file:
                     out = []
                     for r in records(file, begin, end):
-                        out.append(_row(r))
+                        out.append((*[None] * 7, f"member at byte {r.at} of {path} can't be read", None) if isinstance(r, Corrupt) else _row(r))
                         if len(out) == 200:
                             yield _batch(out, names)
                             out = []
@@ -217,7 +238,7 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payload:
     splits = archives.select("path", F.col("bytes").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("begin"))
     ranges = splits.select("path", "begin", F.least(F.col("begin") + split_bytes, "size").alias("end"))
     dealt = ranges.repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism * 4))
-    return dealt.mapInArrow(run, "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long" + ", payload binary" * payload)
+    return dealt.mapInArrow(run, "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, error string" + ", payload binary" * payload)
 
 
 def _row(r: Record) -> tuple:
@@ -232,17 +253,18 @@ def _row(r: Record) -> tuple:
         if not r.head.get("content-type", "").startswith("application/http"):
             body = r.block
         digest, size = base32_sha1(body), len(body)
-    return uri("warc-record-id"), kind, uri("warc-target-uri"), r.head.get("warc-date"), digest, uri("warc-refers-to"), size, body
+    return uri("warc-record-id"), kind, uri("warc-target-uri"), r.head.get("warc-date"), digest, uri("warc-refers-to"), size, None, body
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = [pa.string()] * 6 + [pa.int64(), pa.binary()]
-    columns = list(zip(*rows)) or [[]] * 8
+    types = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.binary()]
+    columns = list(zip(*rows)) or [[]] * 9
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t, _ in zip(columns, types, names)], names)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from archives written and read again."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from archives written and read again; a record that can't be read is an error."""
     archives = write_archives(pages, shared_dir(pages.sparkSession), least_bytes)
     page = lambda c: F.expr(f"try_cast(substring({c}, {len(PAGE_URN) + 1}) as {pages.schema['page_id'].dataType.simpleString()})")
-    return read_archives(archives, payload=False).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    page_id = F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(page("record_id"))
+    return read_archives(archives, payload=False).select(page_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))

@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -45,15 +46,17 @@ def family(rng, words, n, edits):
     return out
 
 
-@pytest.mark.parametrize("block,whole", [(192, 4), (3, 100), (3, 1), (5, 0)])
-def test_near_duplicates(spark, block, whole):
+@pytest.mark.parametrize("block,block_bytes,many", [(192, 10**7, 64), (3, 10**7, 64), (3, 10**7, 2), (192, 1000, 64)])
+def test_near_duplicates(spark, monkeypatch, block, block_bytes, many):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(ngram_join, "MANY_BLOCKS", many)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(500)]
     texts = [t for n, e in ((30, 1), (12, 2), (5, 0), (8, 6)) for t in family(rng, words, n, e)]
     texts += [None, "", " ", "one two", "One  two", "one two three four five"] + [" ".join(rng.choice(words) for _ in range(80)) for _ in range(30)]
     rows = list(zip(rng.sample(range(10_000), len(texts)), texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS root", "'c' AS class_id")
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs, block=block, whole_blocks=whole, recall=0.9999).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs, block=block, recall=0.9999).collect()}
     assert got == brute_near(rows)
 
 
@@ -81,6 +84,10 @@ def test_near_duplicates_odd(spark):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "None", "9", "10", "11"])
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
+    # of rows that share an id, equal texts are copies and others aren't
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words than these here"), (2, "a b c d e f"), (3, "z")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f"), (1, "other words than these here"), (3, "z")]
 
 
 def test_bands():
@@ -116,20 +123,42 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes,shard_bytes", [(10**9, 10**9), (60, 50)])
-def test_contamination(spark, block_bytes, shard_bytes):
+@pytest.mark.parametrize("block_bytes,shard_bytes,most_terms", [(10**9, 10**9, 10**6), (60, 50, 10**6), (60, 50, 3)])
+def test_contamination(spark, block_bytes, shard_bytes, most_terms):
     rng = random.Random(2)
     words = ["a", "B", "c", "é", "9", "foo", "x-y"]
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, say(rng.choice([1, 3, 9, 10, 14]))) for i in range(6)] + [(50, None), (51, ""), (52, "!!"), (3, "same id other text here")]
-    docs = [(i, say(rng.randint(0, 60)) + " " + rng.choice(items[:6])[1] + rng.choice(["", " " + say(5)])) for i in range(40)] + [(90, None), (91, ""), (None, items[2][1]), (5, "again")]
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS n_words", "2 AS shard")
+    items = [(i, say(rng.choice([1, 3, 9, 10, 14]))) for i in range(6)] + [(50, None), (51, ""), (52, "!!"), (3, "same id other text here"), (None, "foo foo foo")]
+    docs = [(i, say(rng.randint(0, 60)) + " " + rng.choice(items[:6])[1] + rng.choice(["", " " + say(5)])) for i in range(40)] + [(90, None), (91, ""), (None, items[2][1]), (5, "again"), (None, "again"), (None, "foo foo foo")]
+    # rows behind a shuffle: made anew, they may come in another order
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS n_words", "2 AS shard", "'h' AS text_hash").repartition(7)
     b = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id")
-    got = decontamination.contamination(d, b, shard_bytes=shard_bytes, block_bytes=block_bytes).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(((i, *brute_hits(t, items)) for i, t in docs), key=str)
-    clean = decontamination.clean(d, b)
-    dirty = {i for i, t in docs if brute_hits(t, items)[4] and i is not None}
-    assert clean.columns == d.columns and sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(i) for i, _ in docs if i not in dirty)
+    parameters = {"shard_bytes": shard_bytes, "block_bytes": block_bytes, "most_terms": most_terms}
+    named = [(i, t) for i, t in items if i is not None]
+    hits = lambda t: tuple(n if k in (0, 1, 4) else m for k, (n, m) in enumerate(zip(brute_hits(t, items), brute_hits(t, named))))
+    got = decontamination.contamination(d, b, **parameters).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *hits(t)) for i, t in docs), key=str)
+    # row by row: of rows that share an id, or have none, only contaminated ones go
+    clean = decontamination.clean(d, b, **parameters)
+    assert clean.columns == d.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted(((i, t) for i, t in docs if not brute_hits(t, items)[4]), key=str)
+
+
+def test_many_windows(spark):
+    """Chunks of windows and candidates smaller than what a shard holds give the same."""
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choice("ab") for _ in range(rng.choice([2, 12, 30])))) for i in range(40)]
+    docs = [(i, " ".join(rng.choice("ab") for _ in range(80))) for i in range(12)]
+    was, decontamination.CANDIDATES = decontamination.CANDIDATES, 50
+    try:
+        windows = decontamination.Windows([{"item_id": i, "text": t} for i, t in items], 10)
+        row = next(iter(decontamination.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).toLocalIterator())).asDict()
+        shard = decontamination.Shard(row)
+        found = [(int(windows.begin[w]), int(b)) for some, at in windows.found(shard) for w, b in zip(some, at)]
+    finally:
+        decontamination.CANDIDATES = was
+    want = [(int(b), at) for b, n in zip(windows.begin, windows.size) for at in shard.phrase([sorted(windows.number)[t] for t in windows.terms[b : b + n]]).tolist()]
+    assert len(found) > 1000 and sorted(found) == sorted(want)
 
 
 def test_no_items(spark):
@@ -170,7 +199,18 @@ def test_warc_odd(spark):
     assert warc.round_trip(pages_of(spark, rows).limit(0)).count() == 0
 
 
-def test_warc_shared_payload(spark):
+def test_warc_large_record():
+    """A record's cost grows with its length: parts that are read aren't copied again and again."""
+    payload = np.random.default_rng(0).bytes(60_000_000)
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    data = z.compress(warc.record(1, "u", payload, None, "d")) + z.flush()
+    began = time.process_time()
+    found = list(warc.records(io.BytesIO(data), 0, len(data)))
+    assert len(found) == 1 and found[0].block.endswith(payload) and time.process_time() - began < 4
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_warc_shared_payload(spark, sent):
     """No task writes all records of a payload that very many pages share."""
     shared = hashlib.shake_256(b"shared").hexdigest(10_000)
     html = F.when(F.col("id") % 3 > 0, F.lit(shared)).otherwise(F.col("id").cast("string"))
@@ -182,7 +222,7 @@ def test_warc_shared_payload(spark):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        archives = warc.write_archives(pages, common.shared_dir(spark)).collect()
+        archives = warc.write_archives(pages, common.shared_dir(spark), sent_digests=sent).collect()
     finally:
         for k, v in was.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -203,6 +243,23 @@ def test_splits(spark):
     for size in (7, 100, len(data)):
         found = [r.head["warc-record-id"] for b in range(0, len(data), size) for r in warc.records(io.BytesIO(data), b, min(len(data), b + size))]
         assert sorted(found) == ["<urn:cairn:page:1>", "<urn:cairn:page:9>"]
+    # several records in a member; a member cut off or changed is told, and those behind it are read
+    many = warc.member(b"".join(warc.record(i, "u", b"x" * i, None, "d") for i in range(5)))
+    cut = warc.member(warc.record(7, "u", bytes(range(256)) * 20, None, "d"))
+    changed = bytearray(cut)
+    changed[-6] ^= 1
+    data = many + bytes(changed) + inner + cut[:-30]
+    for size in (11, 500, len(data)):
+        found = [r for b in range(0, len(data), size) for r in warc.records(io.BytesIO(data), b, min(len(data), b + size))]
+        assert [r.at for r in found if isinstance(r, warc.Corrupt)] == [len(many), len(many) + len(cut) + len(inner)]
+        assert [r.head["warc-record-id"][-2] for r in found if isinstance(r, warc.Record)] == list("012349")
+    folder = common.shared_dir(spark)
+    files, at = warc.opened(folder)
+    files.create_dir(at)
+    with files.open_output_stream(f"{at}/a.warc.gz", compression=None) as out:
+        out.write(data)
+    rows = warc.read_archives(spark.createDataFrame([(f"{folder}/a.warc.gz", len(data))], "path string, bytes long")).collect()
+    assert len(rows) == 8 and sum(r["error"] is not None for r in rows) == 2
     assert gzip.decompress(inner).startswith(b"WARC/1.1\r\n")
 
 

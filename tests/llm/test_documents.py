@@ -160,12 +160,33 @@ def test_measures():
     t = "a b c d e\na b c d e\n\nx #|"
     assert quality_rules.measure(t) == (12, 13, 2, 1, 10)
     assert quality_rules.measure(None) == (0, 0, 0, 0, 0) and quality_rules.measure("\n#\n\x85")[:3] == (2, 2, 1)
+    assert quality_rules.measure("a\nb\n \n \na")[3] == 1 and quality_rules.measure("#\n#\n")[3] == 1
+
+
+def test_repeated_words(monkeypatch):
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        words = [str(x) for x in rng.integers(0, 3, rng.integers(0, 40))]
+    rows = [rng.integers(0, 3, rng.integers(0, 40)) for _ in range(200)]
+
+    def brute(words):
         windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-        inside = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
-        assert quality_rules.repeated(words) == len(inside)
+        return len({i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)})
+
+    want = [brute(r.tolist()) for r in rows]
+    assert [quality_rules.repeated(r) for r in rows] == want and max(want) > 20
+    # texts in parts, down to a word each
+    for size in (1, 7, 10**6):
+        monkeypatch.setattr(quality_rules, "STRETCH", size)
+        got = [quality_rules.measure(" ".join(f"w{x}" for x in r) + "\t") for r in rows]
+        assert [(g[0], g[1], g[4]) for g in got] == [(len(r), 2 * len(r), n) for r, n in zip(rows, want)]
+
+
+def test_windows_of_one_hash(monkeypatch):
+    """Windows that share a hash are told apart by their words."""
+    rng = np.random.default_rng(1)
+    rows = [rng.integers(0, 3, n) for n in (5, 6, 30, 60, 200)]
+    want = [quality_rules.repeated(r) for r in rows]
+    monkeypatch.setattr(quality_rules, "_MIX", np.uint64(0))
+    assert [quality_rules.repeated(r) for r in rows] == want and want[-1] > 5
 
 
 def test_ledger_and_ablations(spark, odd):
