@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cairn.llm import html_text, language_id, quality_classifier, quality_rules, queries, toxicity
@@ -36,6 +37,73 @@ def test_quality_held_out(spark):
     assert accuracy(spark, queries.op1_quality_classifier, "quality", "predicted") > 0.95
 
 
+def brute_features(text):
+    """The measures, character by character."""
+    words = text.split()
+    if not words:
+        return [0.0] * 11
+    lines = [x for x in text.split("\n") if x]
+    is_upper = lambda c: "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×")
+    is_lower = lambda c: "a" <= c <= "z" or "ß" <= c <= "ÿ" or c > "ÿ"
+    upper = sum(map(is_upper, text))
+    return [
+        np.log1p(len(words)),
+        sum(len(w) for w in words) / len(words),
+        sum(c in "!#$%&*+<=>@[\\]^_`{|}~" for c in text) / len(text),
+        upper / max(1, upper + sum(map(is_lower, text))),
+        sum("0" <= c <= "9" for c in text) / len(text),
+        sum(c in ",.:;?" for c in text) / len(words),
+        text.count("|") / len(words),
+        sum(a == b for a, b in zip(words, words[1:])) / len(words),
+        len(set(words)) / len(words) ** 0.9,
+        1 - len(set(lines)) / max(1, len(lines)),
+        text.count("!") / len(words),
+    ]
+
+
+def test_quality_features():
+    odd = ["", " \n", "A!!B|c 12,3.\n\nA A a a", "ÀÞ×ß÷ÿĀ é", "".join(map(chr, range(1, 300))), "x\nx\nx\n", "🙂 🙂"]
+    for text in [*odd, *pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:150]]:
+        assert np.allclose(quality_classifier.features(text), brute_features(text)), text[:80]
+
+
+def test_quality_pairs():
+    """The weights are where the loss of the sampled pairs, summed pair by pair, is flat and lower than around."""
+    rng = np.random.default_rng(2)
+    rows, good = rng.normal(size=(120, len(quality_classifier.MEASURES))), np.arange(120) < 70
+    rows[good, 1] += 1.0
+    ranker = quality_classifier.fit_pairs(rows, good, pairs=300, seed=9)
+    again = np.random.default_rng(9)
+    pairs = list(zip(again.choice(np.flatnonzero(good), 300), again.choice(np.flatnonzero(~good), 300)))
+    x = [[float(v > e) for v, edges in zip(row, ranker.edges) for e in edges] for row in rows]
+
+    def loss(w):
+        apart = [sum(wi * (a - b) for wi, a, b in zip(w, x[i], x[j]) if a != b) for i, j in pairs]
+        return sum(np.log1p(np.exp(-d)) for d in apart) + 1.5 * float(np.dot(w, w))
+
+    least = loss(ranker.weights)
+    for k in rng.choice(len(ranker.weights), 12, replace=False):
+        for step in (1e-3, -1e-3):
+            moved = ranker.weights.copy()
+            moved[k] += step
+            assert loss(moved) > least - 1e-7
+
+
+def test_quality_scores(spark):
+    """The registered query, document by document."""
+    sf = SF.replace("0.01", "0.001")
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    ranker = quality_classifier.fit(docs, labels.where(queries.fold(F.col("doc_id"), 4) != 2))
+    got = {r["doc_id"]: r for r in queries.op1_quality_classifier(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        steps = [float(v > e) for v, edges in zip(brute_features(text or ""), ranker.edges) for e in edges]
+        z = ranker.slope * (float(np.dot(steps, ranker.weights)) - ranker.threshold) + np.log(0.7 / 0.3)
+        assert np.isclose(got[i]["score"], 1 / (1 + np.exp(-np.clip(z, -30, 30)))) and got[i]["predicted"] == (got[i]["score"] >= 0.7)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 @pytest.mark.parametrize("n_good,n_bad", [(900, 100), (500, 500), (150, 850), (40, 960)])
 def test_quality_threshold(n_good, n_bad):
     """Overlapping classes, with few and with many bad documents: no score of the sample is a better threshold."""
@@ -146,6 +214,44 @@ def test_grams():
     assert language_id.letters("12 !?") == "" and language_id.gram_counts("") == {}
 
 
+def brute_grams(text, known=None):
+    """n-grams by frequency, ties to the shorter and then the first; letters that are not known are one letter."""
+    clean = " ".join("".join(c if regex.fullmatch(r"\p{L}", c) else " " for c in (text or "").lower()).split())
+    clean = f" {clean} " if clean else ""
+    clean = "".join(c if known is None or c in known else chr(0x10FFFF) for c in clean)
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(clean) - n + 1):
+            g = clean[i : i + n]
+            if " " not in g[1:-1] and g.strip(" "):
+                counts[g] = counts.get(g, 0) + 1
+    return counts
+
+
+def test_language_against_brute_force(spark):
+    """Profiles and every prediction of the registered query, gram by gram."""
+    sf = SF.replace("0.01", "0.001")
+    rows = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    sums = {}
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            of = sums.setdefault(r["lang"], {})
+            for g, n in brute_grams(r["text"]).items():
+                of[g] = of.get(g, 0) + n
+    rank = lambda counts: sorted(counts, key=lambda g: (-counts[g], len(g), g))
+    profiles = {lang: {g: i for i, g in enumerate(rank(of)[:400])} for lang, of in sums.items()}
+    known = {c for p in profiles.values() for g in p for c in g} | {" "}
+    got = {r["doc_id"]: r for r in queries.op10_language_id(spark, sf).collect()}
+    for r in rows:
+        top = rank(brute_grams(r["text"], known))[:300]
+        if not top:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        away = {lang: sum(abs(p[g] - i) if g in p else 400 for i, g in enumerate(top)) for lang, p in sorted(profiles.items())}
+        best = min(away, key=away.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and np.isclose(got[r["doc_id"]]["score"], 1 - away[best] / (400 * len(top)))
+
+
 def test_out_of_place(spark):
     docs = spark.createDataFrame([("aaa aab", "x"), ("zzz zzy", "z"), (None, "x"), ("q", None)], "text string, lang string")
     profiles = language_id.fit(docs)
