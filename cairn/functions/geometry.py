@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.scalar import gather, matrix_product
+from cairn.functions.scalar import gather, matrix_product, quaternion_inverse
 
 Number = Column | float
 
@@ -70,6 +70,34 @@ def view_matrix(x: Column, y: Column, pan: tuple[Number, Number, Number], distan
     return matrix_product(turned, matrix_product(translation(*pan), swapped_axes(identity(), 1, 2)))
 
 
+def inverse_transform(t: Column, q: Column) -> Column:
+    """The inverse of a turn by q and a move by t (x, y, z), as the turn back and the move that undoes it."""
+    back = quaternion_inverse(q)
+    return F.struct(moved(rotation(back), -t["x"], -t["y"], -t["z"]).alias("translation"), back.alias("rotation"))
+
+
+#: Attributes of a vertex that say how it is blended and morphed.
+BLENDING = ("BlendValues1", "BlendValues2", "BoneValues", "DeformMask", "VertexID", "RegionMask")
+
+
+def drawn_attributes(attributes: Column) -> Column:
+    """A mesh's attributes (binding, ...) that are drawn as they are."""
+    return F.filter(attributes, lambda a: ~a["binding"].isin(list(BLENDING)))
+
+
+def morph_names(morphs: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """by and `names`: for each target in order the name of its morph (by, morph, name), empty where it has none."""
+    named = morphs.join(names, [*by, "morph"], "left")
+    pairs = F.array_sort(F.collect_list(F.struct("target", F.coalesce("name", F.lit("")).alias("name"))))
+    return named.groupBy(*by).agg(F.transform(pairs, lambda p: p["name"]).alias("names"))
+
+
+def running_offsets(rows: DataFrame, by: list[str], order: list[str], size: str, name: str) -> DataFrame:
+    """rows with where each part begins behind the parts before it."""
+    at = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum(size).over(at) - F.col(size))
+
+
 def bone_keys(keys: Column, bones: Column) -> Column:
     """Keys of a mesh as bones of the skeleton; 255 marks none, which is bone 0."""
     return F.transform(keys, lambda k: F.when(k == 255, 0).otherwise(F.get(bones, k)))

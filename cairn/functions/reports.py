@@ -16,17 +16,19 @@ def key_text(key: Column) -> Column:
     return F.concat_ws(" ", hex_of(key["type_id"], 8), hex_of(key["group_id"], 8), F.concat(hex_of(key["instance_hi"], 8), hex_of(key["instance_lo"], 8)))
 
 
-def conflict_text(original: Column, new: Column, keys: Column) -> Column:
-    """The two files, and their keys on lines of their own."""
-    return F.concat(original, F.lit(" --> "), new, F.lit("\n"), F.array_join(F.transform(keys, key_text), "\n"))
+def conflict_text(path: Column, keys: Column) -> Column:
+    """A file and the keys that conflict in it, on lines of their own."""
+    return F.concat_ws("\n", path, F.transform(keys, key_text))
 
 
 def total_text(n_files: Column, n_bytes: Column) -> Column:
     return F.concat(human_size(n_bytes, 3), F.lit(" in "), n_files.cast("string"), F.lit(" files"))
 
 
-def texture_text(name: Column, width: Column, height: Column, levels: Column, memory: Column) -> Column:
-    return F.concat_ws("\n", name, F.format_string("%d x %d", width, height), F.format_string("%d mip levels", levels), human_size(memory))
+def texture_text(group: Column, instance: Column, width: Column, height: Column, memory: Column, kind: Column, levels: Column) -> Column:
+    """What a texture is, one fact on a line. instance: its hexadecimal digits, since 64 bits are no long."""
+    facts = {"Group": hex_of(group), "Instance": instance, "Width": width, "Height": height, "Memory size (bytes)": memory, "Format": kind, "Mipmap levels": levels}
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in facts.items()))
 
 
 def line_changes(old: Column, new: Column) -> Column:

@@ -90,12 +90,15 @@ def human_size(n: Column, decimals: int = 2) -> Column:
 
 
 def hex_dump(b: Column, per_row: int = 16) -> Column:
-    """Rows of bytes: their hexadecimal pairs, then their printable characters, with dots for the others."""
+    """Rows of bytes: the place of the first, hexadecimal digits by two bytes, and characters, with the pictures of those that control and U+FFFD beyond ASCII."""
     starts = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1, F.lit(per_row))).otherwise(F.array().cast("array<int>"))
     row = lambda i: b.substr(i + 1, F.lit(per_row))
-    pairs = lambda i: F.rtrim(F.regexp_replace(F.hex(row(i)), "(..)", "$1 "))
-    shown = lambda i: F.regexp_replace(F.decode(row(i), "ISO-8859-1"), r"[^\x20-\x7E]", ".")
-    return F.array_join(F.transform(starts, lambda i: F.concat(F.rpad(pairs(i), per_row * 3, " "), shown(i))), "\n")
+    pairs = lambda i: F.regexp_replace(F.lower(F.hex(row(i))), "(.{1,4})", "$1 ")
+    control = "".join(map(chr, [*range(32), 127]))
+    pictures = "".join(map(chr, [*range(0x2400, 0x2420), 0x2421]))
+    shown = lambda i: F.regexp_replace(F.translate(F.decode(row(i), "ISO-8859-1"), control, pictures), r"[\x80-\xFF]", "\ufffd")
+    place = lambda i: F.concat(F.lit("0x"), F.when(i < 65536, F.lpad(F.lower(F.hex(i)), 4, "0")).otherwise(F.lower(F.hex(i))), F.lit(":     "))
+    return F.array_join(F.transform(starts, lambda i: F.concat(place(i), F.rpad(pairs(i), per_row * 5 // 2, " "), shown(i))), "\n")
 
 
 # dates
@@ -223,8 +226,10 @@ def leftover(entries: Column, known: list[str]) -> Column:
     return F.array_except(F.transform(entries, lambda e: e["key"]), F.array(*map(F.lit, known)))
 
 
-def mutual_default(a: Column, b: Column) -> tuple[Column, Column]:
-    return F.coalesce(a, b), F.coalesce(b, a)
+def mutual_default(a: Column, b: Column, names: str = "neither value") -> tuple[Column, Column]:
+    """Each value, or the other one where it is missing; where both are, an error."""
+    both = F.coalesce(a, b, F.raise_error(F.lit(f"{names} is there")))
+    return F.coalesce(a, both), F.coalesce(b, both)
 
 
 def typed(entry: Column, dtype: str, field: str) -> Column:
@@ -243,9 +248,9 @@ def indexed(entries: Column, prefix: str, suffix: str, n: Column) -> Column:
     return F.transform(at, lambda i: F.get(F.filter(entries, lambda e: e["key"] == F.concat(F.lit(prefix), i.cast("string"), F.lit(suffix))), F.lit(0)))
 
 
-def since(version: Column, first: int, value: Column, default: Column) -> Column:
-    """A block that only versions from the first one on have."""
-    return F.when(version >= first, value).otherwise(default)
+def since(version: Column, first: int, value: Column, default: Column, only: bool = False) -> Column:
+    """A block that only versions from the first one on have, or only that one."""
+    return F.when((version == first) if only else (version >= first), value).otherwise(default)
 
 
 def flag_labels(n: Column, labels: list[str]) -> Column:
@@ -258,10 +263,13 @@ def element_size(kind: Column) -> Column:
     return F.when(kind == 0, 4).when(kind == 1, 8).when(kind == 2, 12).when(kind == 4, 4)
 
 
-def can_shrink(width: Column, height: Column) -> Column:
-    """Unable if a side above 1 is odd, Small if both are 1, else Ok."""
-    odd = ((width != 1) & (width % 2 == 1)) | ((height != 1) & (height % 2 == 1))
-    return F.when(odd, "Unable").when((width == 1) & (height == 1), "Small").otherwise("Ok")
+def can_shrink(width: Column, height: Column, direction: str = "both") -> Column:
+    """Unable if a side above 1 that is to be halved is odd, Small if all of these are 1, else Ok. direction: both, horizontal or vertical."""
+    sides = {"both": (width, height), "horizontal": (width,), "vertical": (height,)}[direction]
+    odd, small = F.lit(False), F.lit(True)
+    for s in sides:
+        odd, small = odd | ((s != 1) & (s % 2 == 1)), small & (s == 1)
+    return F.when(odd, "Unable").when(small, "Small").otherwise("Ok")
 
 
 def index_set(which: Column, main: Column, normals: Column, uvs: Column) -> Column:

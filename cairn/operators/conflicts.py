@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.sources.resource_types import codes
 from cairn.tables import written
 
 #: The resource types in which keys can conflict, those enabled at first, and the group that is local to a file.
@@ -15,46 +16,66 @@ DEFAULT_ENABLED = tuple(t for t in CONFLICT_TYPES if t not in ("CTSS", "TPRP", "
 LOCAL_GROUP = 0xFFFFFFFF
 
 
-#: Rows above which a key's rows go to several tasks, and how many stretches of the order they are cut into.
-HOT_ROWS, STRETCHES = 1_000_000, 64
+#: Rows above which a key's rows go to several tasks, and the most stretches that all such rows are cut into.
+HOT_ROWS, STRETCHES = 1_000_000, 10_000
+
+
+def relevant(rows: DataFrame, type_id: str = "type_id", group_id: str = "group_id", types: Sequence[str] = CONFLICT_TYPES) -> DataFrame:
+    """Rows whose keys can conflict at all: of those types, and not of the group that is local to a file."""
+    return rows.where(F.col(type_id).isin(codes(types)) & (F.col(group_id) != LOCAL_GROUP))
 
 
 def previous_owner(rows: DataFrame, keys: Sequence[str], file: str, order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """rows whose key stood in an earlier row, with `original`, the file of the row just before: a chain, not a star.
 
     Keys that occur once can't conflict; a count, which combines before its shuffle, drops them, so that only
-    conflicting keys are sorted. If the count shows a key with more than hot_rows rows, the rows of such
-    keys are cut by the first column of the order, a number, into stretches that are sorted apart.
+    conflicting keys are sorted. The repeated keys are written with their counts; if a key has more than hot_rows rows, the
+    rows of such keys are cut by key and whole order into stretches that are sorted apart.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
-    if counts.where(F.col("_n") > hot_rows).isEmpty():
-        repeated = rows.join(counts.drop("_n"), list(keys), "left_semi")
-        return repeated.withColumn("original", F.lag(file).over(Window.partitionBy(*keys).orderBy(*order))).where("original is not null")
-    return _stitched(rows.join(counts, list(keys)), rows.columns, keys, file, order, hot_rows)
-
-
-def _stitched(counted: DataFrame, columns: Sequence[str], keys: Sequence[str], file: str, order: Sequence[str], hot_rows: int) -> DataFrame:
-    """previous_owner for counted rows with hot keys: each stretch is a window of its own, and its first row looks to the last row of the stretch before."""
-    borders = sorted(set(counted.approxQuantile(order[0], [i / STRETCHES for i in range(1, STRETCHES)], 0.005)))
-    stretch = sum((F.when(F.col(order[0]) > b, 1).otherwise(0) for b in borders), F.lit(0))
-    cut = counted.withColumn("_hot", F.col("_n") > hot_rows).withColumn("_stretch", F.when(F.col("_hot"), stretch).otherwise(0))
-    within = F.lag(file).over(Window.partitionBy(*keys, "_stretch").orderBy(*order))
-    inside = cut.withColumn("original", within).where("original is not null").select(*columns, "original")
+    counts = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"))
+    hot = counts.where(F.col("_n") > hot_rows)
+    n_hot = hot.agg(F.sum("_n")).first()[0]
+    lag = lambda *by: F.lag(file).over(Window.partitionBy(*keys, *by).orderBy(*order))
+    plain = rows.join(counts.where(F.col("_n") <= hot_rows).drop("_n"), list(keys), "left_semi")
+    found = plain.withColumn("original", lag()).where("original is not null")
+    if n_hot is None:
+        return found
+    n = min(STRETCHES, 2 * n_hot // hot_rows + 2)
+    return found.unionByName(_stitched(rows.join(hot.drop("_n"), list(keys), "left_semi"), keys, file, order, n, lag))
+
+
+def _stitched(rows: DataFrame, keys: Sequence[str], file: str, order: Sequence[str], n: int, lag) -> DataFrame:
+    """previous_owner for rows of hot keys: each stretch is a window of its own, and its first row looks to the last row of the stretch before.
+
+    Stretches are ranges of keys and order together, so that a key's rows are cut also where they stand in one file. They are
+    written, since ranges that are drawn anew may differ.
+    """
+    cut = written(rows.repartitionByRange(n, *keys, *order).withColumn("_stretch", F.spark_partition_id()))
+    inside = cut.withColumn("original", lag("_stretch")).where("original is not null").drop("_stretch")
     at = F.struct(*order)
-    ends = cut.where("_hot").groupBy(*keys, "_stretch").agg(F.min_by(F.struct(*columns), at).alias("_first"), F.max_by(file, at).alias("_last"))
+    ends = cut.groupBy(*keys, "_stretch").agg(F.min_by(F.struct(*rows.columns), at).alias("_first"), F.max_by(file, at).alias("_last"))
     between = ends.withColumn("original", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_stretch"))).where("original is not null")
     return inside.unionByName(between.select("_first.*", "original"))
 
 
 def conflict_groups(rows: DataFrame, keys: Sequence[str], file: str, file_order: Sequence[str], position: str) -> DataFrame:
-    """A row for each (original, new) pair: how many keys conflict, and the keys in index order."""
+    """A row for each (original, new) pair: how many keys conflict, and the keys in index order.
+
+    The list is for people to read; of a pair with very many keys, conflict_counts() says all that filters need.
+    """
     found = previous_owner(rows, keys, file, [*file_order, position])
     by = ["original", file, *(c for c in file_order if c != file)]
     listed = F.array_sort(F.collect_list(F.struct(F.col(position), *keys)))
     return found.groupBy(*by).agg(F.count("*").alias("n_keys"), listed.alias("keys")).withColumnRenamed(file, "new")
 
 
-def visible(conflicts: DataFrame, types: Column, enabled: Sequence[str], known: DataFrame | None = None, show_known: bool = False) -> DataFrame:
+def conflict_counts(rows: DataFrame, keys: Sequence[str], file: str, file_order: Sequence[str], position: str, type_of: str) -> DataFrame:
+    """A row for each (original, new) pair: how many keys conflict, and of which types; no list of keys is built."""
+    found = previous_owner(rows, keys, file, [*file_order, position])
+    return found.groupBy("original", file).agg(F.count("*").alias("n_keys"), F.array_sort(F.collect_set(type_of)).alias("types")).withColumnRenamed(file, "new")
+
+
+def visible(conflicts: DataFrame, types: Column, enabled: Sequence[str | int] = DEFAULT_ENABLED, known: DataFrame | None = None, show_known: bool = False) -> DataFrame:
     """Conflicts with `is_known` and `shown`: any of their types is enabled, and they are unknown or known ones are shown."""
     if known is None:
         marked = conflicts.withColumn("is_known", F.lit(False))

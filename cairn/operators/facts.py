@@ -50,16 +50,12 @@ def poly_count(primitive: Column, n: Column) -> Column:
     return F.when(primitive == "points", n * 2).when(primitive == "lines", n).when(primitive == "triangles", F.floor(n / 3)).otherwise(0).cast("long")
 
 
-def max_mip_levels(width: int, height: int) -> int:
-    """Levels down to 1 by 1; 1 if a side above 1 is odd on the way, 0 if a side is 0."""
-    if not width or not height:
-        return 0
-    n = 1
-    while width > 1 or height > 1:
-        if (width > 1 and width % 2) or (height > 1 and height % 2):
-            return 1
-        width, height, n = max(1, width // 2), max(1, height // 2), n + 1
-    return n
+def max_mip_levels(width: Column, height: Column) -> Column:
+    """Levels down to 1 by 1; 1 if a side above 1 is odd on the way, 0 if a side is 0. A side never is if it is a power of two."""
+    power = lambda n: n.bitwiseAND(n - 1) == 0
+    halvings = lambda n: F.length(F.bin(n)) - 1
+    levels = F.when(power(width) & power(height), F.greatest(halvings(width), halvings(height)) + 1).otherwise(1)
+    return F.when((width == 0) | (height == 0), 0).otherwise(levels)
 
 
 def mesh_stats(rows: DataFrame, by: Sequence[str], primitive: Column, n_indices: Column, buffer_bytes: Column, has_bounds: Column) -> DataFrame:

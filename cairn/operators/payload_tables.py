@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import facts
-from cairn.sources import payloads
+from cairn.sources import dds, payloads
 from cairn.sources.bags import from_bytes
 
 KEY = ("path", "type_id", "group_id", "instance_hi", "instance_lo")
@@ -31,7 +31,7 @@ def decoded(rows: DataFrame, read: Callable[[bytes], list[dict]], fields: pa.Sch
             kept = batch.select(list(KEY)).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r[f.name] for r in out], f.type) for f in fields)], [*KEY, *fields.names])
 
-    names = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean"}
+    names = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary"}
     schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in KEY] + [f"{f.name} {names[f.type]}" for f in fields])
     return rows.select(*KEY, "data").mapInArrow(run, schema)
 
@@ -48,6 +48,28 @@ def textures(rows: DataFrame) -> DataFrame:
     return found.withColumn("memory_size", facts.mip_memory("format", "width", "height", "mip_levels", F.col("n_textures"))).drop("n_textures")
 
 
+def dds_levels(rows: DataFrame) -> DataFrame:
+    """level (0 is the largest), format, width, height and data of the levels of DDS images; formats without a counterpart give none."""
+
+    def read(data: bytes) -> list[dict]:
+        name, width, height, levels = dds.read(data)
+        return [{"level": i, "format": name, "width": max(1, width >> i), "height": max(1, height >> i), "data": x} for i, x in enumerate(reversed(levels))]
+
+    return decoded(rows, read, pa.schema([("level", pa.int64()), ("format", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("data", pa.binary())]))
+
+
+def dds_images(levels: DataFrame) -> DataFrame:
+    """The key columns and `data`, a DDS image of the rows that dds_levels() gives for it. One image is put together by one task."""
+
+    def run(group: pa.Table) -> pa.Table:
+        each = group.sort_by("level").to_pylist()
+        content = dds.write(each[0]["format"], each[0]["width"], each[0]["height"], [r["data"] for r in reversed(each)])
+        return pa.table({k: [each[0][k]] for k in KEY} | {"data": pa.array([content], pa.binary())})
+
+    schema = ", ".join(f"{c} {levels.schema[c].dataType.simpleString()}" for c in KEY)
+    return levels.select(*KEY, "level", "format", "width", "height", "data").groupBy(*KEY).applyInArrow(run, schema + ", data binary")
+
+
 def strings(rows: DataFrame) -> DataFrame:
     """pos, language, value and description of the strings of text lists."""
 

@@ -45,6 +45,11 @@ def matches(rules: str | Sequence[dict]) -> Column:
     return reduce(and_, map(condition, each), F.lit(True))
 
 
+def equal_if(enabled: bool, field: str, value) -> Column:
+    """A filter on one value that can be switched off."""
+    return F.col(field) == value if enabled else F.lit(True)
+
+
 def format_rank(column: Column | str, formats: Sequence[str] = FORMATS) -> Column:
     """A format's place in a custom order; others come last."""
     c = F.col(column) if isinstance(column, str) else column

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from cairn.operators import facts
 from cairn.plans.registry import query, table
-from cairn.sources import archives, layout, sinks
+from cairn.sources import archives, datasource, layout, sinks
 from cairn.sources.compression import packed, unpacked
 from cairn.tables import shared_dir
 
 
-def document_packages(spark, sf_dir):
-    """Documents in packages of 200 ids; every third one is RefPack."""
+def saved_packages(spark, sf_dir) -> str:
+    """A folder of documents in packages of 200 ids; every third one is RefPack."""
     third = F.col("doc_id") % 3 == 0
     body = F.col("text").cast("binary")
     docs = table(spark, sf_dir, "documents").select(
@@ -28,7 +28,11 @@ def document_packages(spark, sf_dir):
     )
     at = shared_dir(spark)
     sinks.saved(sinks.built(docs), at).count()
-    return archives.files(spark, [at])
+    return at
+
+
+def document_packages(spark, sf_dir):
+    return archives.files(spark, [saved_packages(spark, sf_dir)])
 
 
 @query("x_packages", "SELECT doc_id, n_chars, strlen(text)::BIGINT AS n_bytes, CASE WHEN doc_id % 3 = 0 THEN 65535 ELSE 0 END AS compression, md5(text) AS digest FROM documents")
@@ -41,7 +45,9 @@ def packages_round_trip(spark, sf_dir):
 
 @query("x_package_index", "SELECT count(*) AS n_resources, count(DISTINCT (doc_id % 7, doc_id // 200)) AS n_files, sum(n_chars)::BIGINT AS groups FROM documents")
 def package_index(spark, sf_dir):
-    parsed = archives.scan(document_packages(spark, sf_dir))
+    # by ranges: payloads aren't read
+    datasource.register(spark)
+    parsed = spark.read.format("packages").load(saved_packages(spark, sf_dir))
     return archives.resources(parsed).agg(F.count("*").alias("n_resources"), F.countDistinct("path").alias("n_files"), F.sum("group_id").alias("groups"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import conflicts as C
 from cairn.plans.registry import query, table
+from cairn.tables import written
 
 EXCLUDED, ENABLED = "error", ["click", "view"]
 KEYS = ["event_type", "k"]
@@ -40,8 +41,8 @@ def known(found: DataFrame) -> DataFrame:
 
 
 def shown(spark, sf_dir, show_known=False) -> DataFrame:
-    found = pairs(spark, sf_dir)
-    return C.visible(found, F.col("keys.event_type"), ENABLED, known(found), show_known)
+    found = written(C.conflict_counts(index_rows(spark, sf_dir), KEYS, "user_id", ["user_id"], "event_id", "event_type"))
+    return C.visible(found, F.col("types"), ENABLED, known(found), show_known)
 
 
 def flat(found: DataFrame) -> DataFrame:
@@ -63,13 +64,13 @@ def self_conflicts(spark, sf_dir):
 
 @query("c_unknown", PREVIOUS + FLAT + " WHERE original % 3 <> 0")
 def unknown(spark, sf_dir):
-    found = pairs(spark, sf_dir)
+    found = written(pairs(spark, sf_dir))
     return flat(C.only_unknown(found, known(found)))
 
 
 @query("c_known", PREVIOUS + FLAT + " WHERE original % 3 = 0")
 def known_only(spark, sf_dir):
-    found = pairs(spark, sf_dir)
+    found = written(pairs(spark, sf_dir))
     return flat(C.only_known(found, known(found)))
 
 
@@ -93,7 +94,7 @@ SELECT type, CASE WHEN bool_or(NOT shown AND NOT known) THEN 'NotVisible' WHEN b
 
 @query("c_type_status", PREVIOUS + STATUS)
 def type_status(spark, sf_dir):
-    return C.type_status(shown(spark, sf_dir), F.col("keys.event_type"))
+    return C.type_status(shown(spark, sf_dir), F.col("types"))
 
 
 @query("c_has_hidden", PREVIOUS + "SELECT coalesce(bool_or(NOT (any_enabled AND original % 3 <> 0) AND original % 3 <> 0), false) AS has_hidden FROM p")
@@ -108,7 +109,7 @@ def per_type(spark, sf_dir):
 
 @query("c_known_dedup", PREVIOUS + 'SELECT original, "new" FROM known UNION SELECT original, "new" FROM p WHERE "new" % 5 = 0')
 def known_dedup(spark, sf_dir):
-    found = pairs(spark, sf_dir)
+    found = written(pairs(spark, sf_dir).select("original", "new"))
     return C.add_known(known(found), found.where("new % 5 = 0").select("original", "new"))
 
 
@@ -153,13 +154,3 @@ def lineitem(spark, sf_dir):
 @query("c_progress", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS position, count(*) OVER () AS total FROM documents")
 def progress(spark, sf_dir):
     return C.progress(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"]).select("doc_id", "position", "total")
-
-
-@query("c_type_filter", "SELECT event_id, event_type FROM events WHERE event_type = 'click'")
-def type_filter(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "event_type").where("event_type = 'click'")
-
-
-@query("c_type_filter_off", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def type_filter_off(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geometry as G
 from cairn.functions import reports, scalar
+from cairn.operators import facts
 from cairn.plans.registry import query, table
 
 ROTATED = """
@@ -41,9 +42,68 @@ def quaternion(spark, sf_dir):
     return rows.select("vec_id", F.round("i.x", 6).alias("ix"), F.round("i.w", 6).alias("iw"), F.round(F.element_at("m", 1), 6).alias("m00"), F.round(F.element_at("m", 2), 6).alias("m01"))
 
 
-@query("m_can_shrink", "SELECT p_partkey, CASE WHEN (w <> 1 AND w % 2 = 1) OR (h <> 1 AND h % 2 = 1) THEN 'Unable' WHEN w = 1 AND h = 1 THEN 'Small' ELSE 'Ok' END AS shrink FROM (SELECT p_partkey, p_size AS w, p_size % 4 + 1 AS h FROM part)")
+@query("m_can_shrink", "SELECT p_partkey, CASE WHEN (w <> 1 AND w % 2 = 1) OR (h <> 1 AND h % 2 = 1) THEN 'Unable' WHEN w = 1 AND h = 1 THEN 'Small' ELSE 'Ok' END AS shrink, CASE WHEN w = 1 THEN 'Small' WHEN w % 2 = 1 THEN 'Unable' ELSE 'Ok' END AS wide, CASE WHEN h = 1 THEN 'Small' WHEN h % 2 = 1 THEN 'Unable' ELSE 'Ok' END AS high FROM (SELECT p_partkey, p_size AS w, p_size % 4 + 1 AS h FROM part)")
 def can_shrink(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", scalar.can_shrink(F.col("p_size"), F.col("p_size") % 4 + 1).alias("shrink"))
+    sides = F.col("p_size"), F.col("p_size") % 4 + 1
+    return table(spark, sf_dir, "part").select("p_partkey", scalar.can_shrink(*sides).alias("shrink"), scalar.can_shrink(*sides, "horizontal").alias("wide"), scalar.can_shrink(*sides, "vertical").alias("high"))
+
+
+MAX_MIPS = """
+WITH RECURSIVE s AS (
+  SELECT p_partkey, p_size % 20 AS w, p_partkey % 9 AS h, 1 AS n, false AS odd FROM part
+  UNION ALL
+  SELECT p_partkey, greatest(w // 2, 1), greatest(h // 2, 1), n + 1, (w > 1 AND w % 2 = 1) OR (h > 1 AND h % 2 = 1) FROM s WHERE (w > 1 OR h > 1) AND w > 0 AND h > 0 AND NOT odd
+)
+SELECT p_partkey, CASE WHEN p_size % 20 = 0 OR p_partkey % 9 = 0 THEN 0 WHEN bad THEN 1 ELSE n END AS levels FROM part JOIN (SELECT p_partkey, max(n) AS n, bool_or(odd) AS bad FROM s GROUP BY p_partkey) USING (p_partkey)
+"""
+
+
+@query("m_max_mips", MAX_MIPS)
+def max_mips(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", facts.max_mip_levels(F.col("p_size") % 20, (F.col("p_partkey") % 9).cast("int")).alias("levels"))
+
+
+@query("m_inverse", """
+WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)
+SELECT vec_id, round(-y, 6) AS x, round(x, 6) AS y, round(-z, 6) AS z, round(-sqrt(0.5), 6) AS qz, round(sqrt(0.5), 6) AS qw FROM e
+""")
+def inverse(spark, sf_dir):
+    """A quarter turn about z, undone: x takes the negative y, y the x."""
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    t = F.struct(at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
+    half = F.sqrt(F.lit(0.5))
+    q = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), half.alias("z"), half.alias("w"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", G.inverse_transform(t, q).alias("i"))
+    six = lambda c: F.round(c, 6)
+    return rows.select("vec_id", *(six(F.col(f"i.translation.{c}")).alias(c) for c in "xyz"), six(F.col("i.rotation.z")).alias("qz"), six(F.col("i.rotation.w")).alias("qw"))
+
+
+TURNED = """
+WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS a, embedding[5]::DOUBLE AS b FROM embeddings),
+v AS (SELECT *, x * cos(b) - y * sin(b) AS vx, x * sin(b) + y * cos(b) AS vz FROM e)
+SELECT vec_id, round(x * cos(a) - y * sin(a), 6) AS about_z, round(x * sin(a) + z * cos(a), 6) AS about_y, round(2 * x, 6) AS side, 0.5 AS depth,
+  round(x * cos(b) - (y + 3) * sin(b), 5) AS seen_x, round(sin(a) * (z + 2) + cos(a) * (x * sin(b) + (y + 3) * cos(b)) + 4, 5) AS seen_z
+FROM v
+"""
+
+
+@query("m_matrices", TURNED)
+def matrices(spark, sf_dir):
+    """Turns about the other two axes, a projection, and what is seen from 4 away after a turn by b about y, by a about x, and a move by (0, 2, 3)."""
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", at(1).alias("x"), at(2).alias("y"), at(3).alias("z"), at(4).alias("a"), at(5).alias("b"))
+    p = [F.col(c) for c in "xyz"]
+    six = lambda c, n=6: F.round(c, n)
+    made = {"rz": G.moved(G.axis_rotation("z", F.col("a")), *p), "ry": G.moved(G.axis_rotation("y", F.col("a")), *p), "pr": G.moved(G.projection(0.5, F.lit(4.0)), *p)}
+    rows = rows.withColumns(made | {"s": G.moved(G.view_matrix(F.col("a"), F.col("b"), (0, 2, 3), 4), *p)})
+    return rows.select("vec_id", six(F.col("rz.x")).alias("about_z"), six(F.col("ry.z")).alias("about_y"), six(F.col("pr.x")).alias("side"), F.col("pr.z").alias("depth"), six(F.col("s.x"), 5).alias("seen_x"), six(F.col("s.z"), 5).alias("seen_z"))
+
+
+@query("m_morph_names", "SELECT p_brand, string_agg(CASE WHEN p_size % 3 = 0 THEN 'group::' || p_size ELSE '' END, ',' ORDER BY p_size) AS names FROM (SELECT DISTINCT p_brand, p_size FROM part) GROUP BY p_brand")
+def morph_names(spark, sf_dir):
+    ids = G.morph_ids(table(spark, sf_dir, "part"), ["p_brand"], "p_size")
+    names = ids.where("morph % 3 = 0").select("p_brand", "morph", F.concat(F.lit("group::"), F.col("morph")).alias("name"))
+    return G.morph_names(ids, names, ["p_brand"]).select("p_brand", F.array_join("names", ",").alias("names"))
 
 
 @query("m_bones", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 10 + p_size % 3 END AS bone, p_size % 3 AS buffer FROM part")
@@ -91,12 +151,6 @@ def indexed_keys(spark, sf_dir):
     return rows.select("o_orderkey", F.array_join(F.transform(names, lambda e: e["s"]), ",").alias("overrides"), scalar.optional(first, "UInt", "s").cast("long").alias("maybe"))
 
 
-@query("m_report", "SELECT p_partkey, p_name || chr(10) || p_size || ' x ' || p_size * 2 || chr(10) || '1 mip levels' || chr(10) || p_size || ' B' AS shown FROM part")
-def report(spark, sf_dir):
-    shown = reports.texture_text(F.col("p_name"), F.col("p_size"), F.col("p_size") * 2, F.lit(1), F.col("p_size"))
-    return table(spark, sf_dir, "part").select("p_partkey", shown.alias("shown"))
-
-
 @query("m_line_changes", "SELECT o_orderkey, '--- old' || chr(10) || '+++ new' || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || ' ' || o_orderstatus || chr(10) || '-' || o_orderpriority || chr(10) || '+' || o_custkey AS changes FROM orders")
 def line_changes(spark, sf_dir):
     line = lambda c: F.concat_ws("\n", "o_orderstatus", c)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import scalar as S
+from cairn.functions.geometry import running_offsets
 from cairn.operators import conflicts, facts, lookups
 from cairn.plans.registry import query, table
 
@@ -82,8 +82,7 @@ def distinct_rank(spark, sf_dir):
 @query("w_running_offset", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) - l_quantity::BIGINT)::BIGINT AS off FROM lineitem")
 def running_offset(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
-    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("off", F.sum("q").over(at) - F.col("q")).drop("q")
+    return running_offsets(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "q", "off").drop("q")
 
 
 @query("p_path_order", "SELECT page_id, row_number() OVER (ORDER BY string_split(url, '/'), page_id) AS position FROM pages")

@@ -24,5 +24,5 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("conflict_queries", "texture_queries", "lookup_queries", "value_queries", "geometry_queries", "archive_queries"):
+for _module in ("conflict_queries", "texture_queries", "lookup_queries", "value_queries", "geometry_queries", "archive_queries", "bag_queries", "package_queries"):
     import_module(f"cairn.plans.{_module}")

@@ -114,10 +114,3 @@ def vectors(spark, sf_dir):
         F.size(S.chunks(e, 3)).alias("n_chunks"),
         six(at(S.interleave(e, S.negate(e)), 5)).alias("woven"),
     )
-
-
-@query("v_top_search")
-def fuzzy_search(spark, sf_dir):
-    from cairn.functions.fuzzy import search
-
-    return search(table(spark, sf_dir, "part"), "p_name", "rd wdg").orderBy(F.desc("score"), "p_partkey").limit(20)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,16 +30,23 @@ def files(spark: SparkSession, folders: Sequence[str], glob: str = "*.package")
     return out
 
 
-def parsed_row(path: str, dir_ord: int, content: bytes | layout.Ranges) -> tuple:
-    """A file's row of PARSED: its header, holes and resources, or the error that stopped the parse."""
+def parsed_row(path: str, dir_ord: int, content: bytes | layout.Ranges, types: Sequence[int] | None = None, except_group: int | None = None) -> tuple:
+    """A file's row of PARSED: its header, holes and resources, or the error that stopped the parse.
+
+    With types, only resources of these are listed, and with except_group none of that group; places in the index stay.
+    """
     try:
         p = layout.read(content)
     except layout.BadPackage as e:
         return path, dir_ord, str(e), *[None] * (len(HEAD) + 2), [], []
-    columns = [p.index[c].tolist() for c in layout.COLUMNS]
-    rows = [dict(zip(("index_pos", *layout.COLUMNS), (i, *r))) for i, r in enumerate(zip(*columns))]
+    n_entries = len(p.index["type_id"])
+    keep = np.ones(n_entries, bool) if types is None else np.isin(p.index["type_id"], list(types))
+    if except_group is not None:
+        keep &= p.index["group_id"] != except_group
+    columns = [np.flatnonzero(keep).tolist(), *(p.index[c][keep].tolist() for c in layout.COLUMNS)]
+    rows = [dict(zip(("index_pos", *layout.COLUMNS), r)) for r in zip(*columns)]
     gaps = [{"pos": i, "location": int(a), "size": int(b)} for i, (a, b) in enumerate(p.holes.tolist())]
-    return path, dir_ord, None, *(p.header[c] for c in HEAD), len(rows), len(gaps), gaps, rows
+    return path, dir_ord, None, *(p.header[c] for c in HEAD), n_entries, len(gaps), gaps, rows
 
 
 def arrow_types() -> dict[str, pa.DataType]:
@@ -53,13 +61,13 @@ def as_batch(row: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds.values())], list(kinds))
 
 
-def scan(found: DataFrame) -> DataFrame:
-    """A row for each file: its header, holes and resources, or the error that stopped the parse. Payloads stay behind."""
+def scan(found: DataFrame, types: Sequence[int] | None = None, except_group: int | None = None) -> DataFrame:
+    """A row for each file: its header, holes and resources, of some types and groups only if asked for, or the error that stopped the parse. Payloads stay behind."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             for path, dir_ord, content in zip(*(batch.column(c) for c in ("path", "dir_ord", "content"))):
-                yield as_batch(parsed_row(path.as_py(), dir_ord.as_py(), content.as_py()))
+                yield as_batch(parsed_row(path.as_py(), dir_ord.as_py(), content.as_py(), types, except_group))
 
     return found.select("path", "dir_ord", "content").mapInArrow(run, PARSED)
 

@@ -1,10 +1,13 @@
 """Property bags: ordered lists of typed values by key, in their binary and XML forms.
 
-A bag is array<struct<key, dtype, u, i, f, b, s>> with one value set; order and repeats stay.
+A bag is array<struct<key, dtype, u, i, f, b, s>> with one value set; order and repeats stay. Strings that aren't UTF-8 have
+their bytes in `raw` besides, and a text with U+FFFD for what can't be read.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import struct
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -13,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BAG = "array<struct<key:string,dtype:string,u:bigint,i:int,f:float,b:boolean,s:string>>"
+BAG = "array<struct<key:string,dtype:string,u:bigint,i:int,f:float,b:boolean,s:string,raw:binary>>"
 #: Fixed values of the formats: the magic number, type codes, elements and their type attributes.
 MAGIC = 0xCBE750E0
 CODES = {"UInt": 0xEB61E4F7, "String": 0x0B8BEA18, "Float": 0xABC78708, "Bool": 0xCBA908E1, "Int": 0x0C264712}
@@ -26,7 +29,12 @@ _PLAIN = {"UInt": "<I", "Int": "<i", "Float": "<f", "Bool": "<B"}
 
 
 def item(key: str, dtype: str, value) -> dict:
-    return {"key": key, "dtype": dtype, **dict.fromkeys("uifbs"), FIELD[dtype]: value}
+    """An entry; a string may be bytes."""
+    raw = None
+    if isinstance(value, bytes):
+        text = value.decode("utf-8", "replace")
+        raw, value = (None if text.encode() == value else value), text
+    return {"key": key, "dtype": dtype, **dict.fromkeys("uifbs"), "raw": raw, FIELD[dtype]: value}
 
 
 def read_binary(data: bytes) -> list[dict]:
@@ -35,18 +43,18 @@ def read_binary(data: bytes) -> list[dict]:
         raise ValueError("no binary bag")
     at, out = 10, []
 
-    def text() -> str:
+    def text() -> bytes:
         nonlocal at
         size = struct.unpack_from("<I", data, at)[0]
         if at + 4 + size > len(data):
             raise ValueError("a string ends outside the bag")
         at += 4 + size
-        return data[at - size : at].decode()
+        return data[at - size : at]
 
     for _ in range(n):
         kind = _KIND[struct.unpack_from("<I", data, at)[0]]
         at += 4
-        key = text()
+        key = text().decode("utf-8", "replace")
         if kind == "String":
             value = text()
         else:
@@ -57,10 +65,11 @@ def read_binary(data: bytes) -> list[dict]:
 
 
 def write_binary(items: list[dict], version: int = 2) -> bytes:
-    text = lambda s: struct.pack("<I", len(b := s.encode())) + b
+    text = lambda s: struct.pack("<I", len(b := s if isinstance(s, bytes) else s.encode())) + b
     out = [struct.pack("<IHI", MAGIC, version, len(items))]
     for e in items:
         kind, value = e["dtype"], e[FIELD[e["dtype"]]]
+        value = e["raw"] if e.get("raw") is not None else value
         out += [struct.pack("<I", CODES[kind]), text(e["key"]), text(value) if kind == "String" else struct.pack(_PLAIN[kind], value)]
     return b"".join(out)
 
@@ -158,12 +167,8 @@ def to_binary(c: Column) -> Column:
 
 
 def _json(items: list[dict]) -> str:
-    import json
-
-    return json.dumps(items)
+    return json.dumps([e if e["raw"] is None else e | {"raw": base64.b64encode(e["raw"]).decode()} for e in items])
 
 
 def _items(text: str) -> list[dict]:
-    import json
-
-    return [dict.fromkeys("uifbs") | e for e in json.loads(text)]
+    return [dict.fromkeys(("u", "i", "f", "b", "s")) | e | {"raw": base64.b64decode(e["raw"]) if e.get("raw") else None} for e in json.loads(text)]

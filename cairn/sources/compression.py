@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,54 +57,79 @@ def refpack_unpack(data: bytes, size: int = 0) -> bytes:
     return bytes(out)
 
 
+#: Bytes of a match that are compared for all places of the data at once; longer ones go on by slices.
+TOGETHER = 24
+
+
+def matches(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, how far back the last earlier one is where the same bytes begin, and for how many, TOGETHER at most; 0 where no copy is worth its command.
+
+    Places of equal three bytes stand side by side once they are sorted.
+    """
+    size = len(data)
+    b = np.frombuffer(data, np.uint8)
+    wide = b.astype(np.int32)
+    keys = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    at, before = order[1:][same], order[:-1][same]
+    back, length = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    back[at], length[at] = at - before, 3
+    near = at[back[at] <= 131072]
+    for n in range(3, TOGETHER):
+        near = near[near + n < size]
+        near = near[b[near + n] == b[near + n - back[near]]]
+        if not len(near):
+            break
+        length[near] = n + 1
+    poor = (back > 131072) | ((length < 4) & (back > 1024)) | ((length < 5) & (back > 16384))
+    length[poor] = 0
+    return back, length
+
+
 def refpack_pack(data: bytes) -> bytes:
     """Pack greedily with the latest earlier place of each three bytes; behind a size and the usual header."""
-    if len(data) >= 1 << 24:
+    size = len(data)
+    if size >= 1 << 24:
         raise ValueError("too long for this header")
     out = bytearray()
-    seen: dict[bytes, int] = {}
-    plain = at = 0
-
-    def literals(end: int, keep: int) -> int:
+    back_of, length_of = matches(data) if size > 2 else (np.zeros(size, np.int64), np.zeros(size, np.int64))
+    # from each place on the next where a copy may begin
+    following = np.minimum.accumulate(np.where(length_of > 0, np.arange(size), size)[::-1])[::-1].tolist() + [size]
+    backs, lengths = back_of.tolist(), length_of.tolist()
+    plain = 0
+
+    def literals(end: int) -> int:
+        """Write whole groups of four bytes up to `end`; what is left goes with the next command."""
         nonlocal plain
-        while end - plain > keep:
+        while end - plain > 3:
             n = min(112, (end - plain) // 4 * 4)
-            if not n:
-                break
             out.append(0xE0 + (n >> 2) - 1)
             out.extend(data[plain : plain + n])
             plain += n
         return end - plain
 
-    while at < len(data) - 2:
-        key = data[at : at + 3]
-        before = seen.get(key)
-        seen[key] = at
-        if before is None or at - before > 131072:
-            at += 1
-            continue
-        back, n, most = at - before, 3, min(1028, len(data) - at)
-        while n < most and data[before + n] == data[at + n]:
-            n += 1
-        if (n < 4 and back > 1024) or (n < 5 and back > 16384):
-            at += 1
-            continue
-        k = literals(at, 3)
-        d = back - 1
+    while (at := following[plain]) < size:
+        back, n = backs[at], lengths[at]
+        if n == TOGETHER:
+            most = min(1028, size - at)
+            while n < most and data[at + n : at + n + 16] == data[at + n - back : at + n + 16 - back]:
+                n = min(most, n + 16)
+            while n < most and data[at + n] == data[at + n - back]:
+                n += 1
+        k, d = literals(at), back - 1
         if back <= 1024 and n <= 10:
-            out += bytes([(d >> 3 & 0x60) | (n - 3) << 2 | k, d & 255])
+            out += bytes(((d >> 3 & 0x60) | (n - 3) << 2 | k, d & 255))
         elif back <= 16384 and n <= 67:
-            out += bytes([0x80 | n - 4, k << 6 | d >> 8, d & 255])
+            out += bytes((0x80 | n - 4, k << 6 | d >> 8, d & 255))
         else:
-            out += bytes([0xC0 | (d >> 12 & 0x10) | (n - 5 >> 6 & 0x0C) | k, d >> 8 & 255, d & 255, n - 5 & 255])
+            out += bytes((0xC0 | (d >> 12 & 0x10) | (n - 5 >> 6 & 0x0C) | k, d >> 8 & 255, d & 255, n - 5 & 255))
         out += data[plain:at]
-        for i in range(at + 1, min(at + n, len(data) - 2), 1 if n < 64 else 7):
-            seen[data[i : i + 3]] = i
-        at = plain = at + n
-    k = literals(len(data), 3)
+        plain = at + n
+    k = literals(size)
     out.append(0xFC | k)
     out += data[plain:]
-    return (len(out) + 9).to_bytes(4, "little") + b"\x10\xfb" + len(data).to_bytes(3, "big") + bytes(out)
+    return (len(out) + 9).to_bytes(4, "little") + b"\x10\xfb" + size.to_bytes(3, "big") + bytes(out)
 
 
 def unpack(data: bytes, compression: int, size: int) -> bytes:

@@ -21,12 +21,18 @@ class Files(InputPartition):
 
 
 class PackageReader(DataSourceReader):
-    """options: path, suffix (.package), filesPerPartition (32). Files go to partitions in the order of their paths."""
+    """options: path, suffix (.package), filesPerPartition (32), types (codes with commas; all), exceptGroup (none).
+
+    Files go to partitions in the order of their paths. Resources of other types, and of the group, are left out while reading.
+    """
 
     def __init__(self, options: dict):
         self.base = options["path"]
         self.suffix = options.get("suffix", ".package")
         self.n = int(options.get("filesPerPartition", 32))
+        types, group = options.get("types"), options.get("exceptGroup")
+        self.types = None if types is None else [int(t) for t in types.split(",") if t.strip()]
+        self.except_group = None if group is None else int(group)
 
     def partitions(self) -> list[Files]:
         filesystem, base = fs.FileSystem.from_uri(self.base)
@@ -38,7 +44,7 @@ class PackageReader(DataSourceReader):
         filesystem, _ = fs.FileSystem.from_uri(self.base)
         for path in partition.paths:
             with filesystem.open_input_file(path) as file:
-                yield archives.as_batch(archives.parsed_row(path, 0, layout.Ranges(file, file.size())))
+                yield archives.as_batch(archives.parsed_row(path, 0, layout.Ranges(file, file.size()), self.types, self.except_group))
 
 
 class PackageSource(DataSource):

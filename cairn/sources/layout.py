@@ -99,26 +99,27 @@ def _index_2(data: bytes | Ranges, head: dict[str, int]) -> dict[str, np.ndarray
         if flags >> i & 1:
             fixed[name], at = int(_array(data, np.dtype("<u4"), 1, at)[0]), at + 4
     free = [n for n in ("type_id", "group_id", "instance_hi", "instance_lo") if n not in fixed]
-    out: dict[str, list[int]] = {n: [] for n in COLUMNS}
-    width = 4 * len(free)
-    table, at = data[at : at + head["n_entries"] * (width + 16)], 0
-    for _ in range(head["n_entries"]):
-        if at + width + 12 > len(table):
+    plain = np.dtype([*((n, "<u4") for n in free), ("location", "<u4"), ("stored_size", "<u4"), ("decompressed_size", "<u4")])
+    table, at, parts = data[at : at + head["n_entries"] * (plain.itemsize + 4)], 0, []
+    left = head["n_entries"]
+    while left:
+        if at + plain.itemsize > len(table):
             raise BadPackage("the index lies outside the file")
-        values = struct.unpack_from(f"<{len(free) + 3}I", table, at)
-        at += width + 12
-        row = fixed | dict(zip(free, values))
-        location, stored, size = values[len(free) :]
-        compression = RAW
-        if stored >> 31:
+        # entries have one length up to one that says how it is packed, which two more fields do
+        run = np.frombuffer(table, plain, min(left, (len(table) - at) // plain.itemsize), at)
+        packed = np.flatnonzero(run["stored_size"] >> 31)[:1]
+        run = run[: packed[0] + 1] if len(packed) else run
+        at += run.nbytes
+        compression = np.full(len(run), RAW, np.int64)
+        if len(packed):
             if at + 4 > len(table):
                 raise BadPackage("the index lies outside the file")
-            compression = struct.unpack_from("<HH", table, at)[0]
-            at += 4
-        row |= {"location": location, "stored_size": stored & 0x7FFFFFFF, "compression": compression, "decompressed_size": size}
-        for n in COLUMNS:
-            out[n].append(row[n])
-    return {n: np.array(v, np.int64) for n, v in out.items()}
+            compression[-1], at = struct.unpack_from("<H", table, at)[0], at + 4
+        left -= len(run)
+        parts.append({n: run[n].astype(np.int64) for n in plain.names} | {"compression": compression})
+    out = {n: np.concatenate([p[n] for p in parts] or [np.zeros(0, np.int64)]) if n not in fixed else np.full(head["n_entries"], fixed[n], np.int64) for n in COLUMNS}
+    out["stored_size"] &= 0x7FFFFFFF
+    return out
 
 
 def write(header: dict[str, int], resources: list[dict]) -> bytes:

@@ -204,22 +204,27 @@ class Function:
 
 
 def traversal(edges: dict[int, tuple[int | None, int | None]]) -> list[tuple[int, int, int]]:
-    """(instruction, x, y) in the order of a depth-first walk from the lowest instruction not yet reached.
+    """(instruction, x, y) in the order of a depth-first walk from the lowest instruction not yet seen, which stands at 0, 0.
 
-    The false branch, one to the right below, is taken before the true one, one to the left below.
+    An instruction is seen once another one leads to it, also before its turn comes. Where both branches lead to unseen ones,
+    the true one stands to the right below and waits, and the false one, to the left below, is next; a lone one stands right below.
     """
-    left, out, row = set(edges), [], 0
-    while left:
-        stack = [(min(left), 0, row)]
-        while stack:
-            node, x, y = stack.pop()
-            if node not in left:
-                continue
-            left.discard(node)
+    unseen, out = set(edges), []
+    for begin in sorted(edges):
+        if begin not in unseen:
+            continue
+        unseen.discard(begin)
+        waiting = [(begin, 0, 0)]
+        while waiting:
+            node, x, y = waiting.pop()
             out.append((node, x, y))
-            true, false = edges[node]
-            stack += [(t, x + dx, y + 1) for t, dx in ((true, -1), (false, 1)) if t is not None and t in left]
-        row = max(y for _, _, y in out) + 1
+            new = []
+            for target in edges[node]:
+                if target in unseen:
+                    unseen.discard(target)
+                    new.append(target)
+            sides = (1, -1) if len(new) == 2 else (0,)
+            waiting += [(target, x + side, y + 1) for target, side in zip(new, sides)]
     return out
 
 

@@ -181,3 +181,31 @@ def search_strings() -> Column:
 def has_extension(name: Column) -> Column:
     """Whether a file name ends in one of the type's extensions, or in the one for any resource."""
     return F.exists(F.array_append(F.col("extensions"), "simpe"), lambda e: name.endswith(F.concat(F.lit("."), e)))
+
+
+#: Versions of a person's description by code, as people know them.
+VERSION_LABELS = {
+    0x18: "V18",
+    0x19: "V19",
+    0x1A: "V1a",
+    0x1C: "V1c",
+    0x1E: "V1e",
+    0x1F: "V1f",
+    0x20: "Base Game",
+    0x22: "University",
+    0x27: "V27",
+    0x29: "Nightlife",
+    0x2A: "Business",
+    0x2C: "Pets",
+    0x2D: "Castaway",
+    0x2E: "Bon Voyage",
+    0x2F: "Bon Voyage (Version 2)",
+    0x33: "Free Time",
+    0x35: "Apartment Life (pre-release)",
+    0x36: "Apartment Life",
+}
+
+
+def version_label(version: Column) -> Column:
+    """A version's label; null for others."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in VERSION_LABELS.items() for x in pair)), version)

@@ -2,6 +2,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -129,12 +130,59 @@ def test_payloads():
     with pytest.raises(ValueError):
         payloads.name_bytes("x" * 65)
     assert payloads.Target.of(0xFFFD, True).end == "true" and payloads.Target.of(7, False).instruction == 7
-    walk = payloads.traversal({0: (1, 2), 1: (0, None), 2: (None, 1), 5: (None, None)})
-    assert [n for n, _, _ in walk] == [0, 2, 1, 5]
 
 
-def test_mips():
-    assert [facts.max_mip_levels(*s) for s in ((0, 4), (1, 1), (8, 8), (8, 2), (6, 4), (3, 1))] == [0, 1, 4, 4, 1, 1]
+@pytest.mark.parametrize(
+    "edges,walk",
+    [
+        # both branches: the false one is next, on the left, and the true one waits, though the false one leads to it too
+        ({0: (1, 2), 1: (0, None), 2: (None, 1), 5: (None, None)}, [(0, 0, 0), (2, -1, 1), (1, 1, 1), (5, 0, 0)]),
+        ({0: (1, 2), 1: (None, None), 2: (1, None)}, [(0, 0, 0), (2, -1, 1), (1, 1, 1)]),
+        # lone branches stand right below, also where the other one was seen before
+        ({0: (None, 1), 1: (2, 0), 2: (2, 1)}, [(0, 0, 0), (1, 0, 1), (2, 0, 2)]),
+        # a chain from the lowest one on, then what it never reaches, from 0, 0 again
+        ({0: (3, None), 1: (2, 4), 2: (None, None), 3: (None, None), 4: (3, 3)}, [(0, 0, 0), (3, 0, 1), (1, 0, 0), (4, -1, 1), (2, 1, 1)]),
+        ({0: (1, 1), 1: (None, 7)}, [(0, 0, 0), (1, 0, 1)]),
+    ],
+)
+def test_traversal(edges, walk):
+    assert payloads.traversal(edges) == walk
+
+
+def test_mips(spark):
+    sides = [(0, 4, 0), (1, 1, 1), (8, 8, 4), (8, 2, 4), (6, 4, 1), (3, 1, 1), (1, 16, 5)]
+    got = spark.createDataFrame(sides, "w int, h int, n int").select("n", facts.max_mip_levels(F.col("w"), F.col("h")).alias("m")).collect()
+    assert [r["m"] for r in got] == [r["n"] for r in got]
+
+
+def test_neither_value(spark):
+    from cairn.functions.scalar import mutual_default
+
+    both = lambda rows: spark.createDataFrame(rows, "a int, b int").select(*mutual_default(F.col("a"), F.col("b"), "neither a nor b")).collect()
+    assert sorted(map(tuple, both([(1, None), (None, 2), (3, 4)]))) == [(1, 1), (2, 2), (3, 4)]
+    with pytest.raises(Exception, match="neither a nor b is there"):
+        both([(1, 2), (None, None)])
+
+
+def test_dds_tables(spark):
+    from cairn.operators import payload_tables
+    from cairn.sources import dds
+
+    images = [dds.write("RawARGB32", 2, 2, [b"abcd", bytes(range(16))]), dds.write("DXT1", 8, 4, [bytes(16)]), b"none"]
+    rows = [("p", 1, 0, 0, i, bytearray(b)) for i, b in enumerate(images)]
+    df = spark.createDataFrame(rows, "path string, type_id long, group_id long, instance_hi long, instance_lo long, data binary")
+    levels = payload_tables.dds_levels(df)
+    assert sorted((r["instance_lo"], r["level"], r["format"], r["width"], len(r["data"])) for r in levels.collect()) == [(0, 0, "RawARGB32", 2, 16), (0, 1, "RawARGB32", 1, 4), (1, 0, "DXT1", 8, 16)]
+    assert {r["instance_lo"]: bytes(r["data"]) for r in payload_tables.dds_images(levels).collect()} == dict(enumerate(images[:2]))
+
+
+def test_bag_bytes(spark):
+    """A string that isn't UTF-8 stays as it is; what is shown of it is lossy."""
+    data = bags.write_binary([bags.item("k", "String", b"a\xffb"), bags.item("n", "UInt", 7)])
+    rows = spark.createDataFrame([(bytearray(data),)], "data binary").select(bags.from_bytes(F.col("data")).alias("bag"))
+    first = rows.first()["bag"]
+    assert (first[0]["s"], bytes(first[0]["raw"]), first[1]["u"], first[1]["raw"]) == ("a\ufffdb", b"a\xffb", 7, None)
+    assert bytes(rows.select(bags.to_binary(F.col("bag")).alias("b")).first()["b"]) == data
 
 
 def test_scan_and_conflicts(spark, tmp_path):
@@ -220,7 +268,7 @@ def test_payload_tables(spark):
     # 8x4, 4x2, 2x1 in blocks of 8 bytes, twice
     assert [(r["width"], r["height"], r["format"], r["mip_levels"], r["memory_size"]) for r in t] == [(8, 4, "DXT1", 3, (16 + 8 + 8) * 2)]
     nodes = payload_tables.instructions(df.where("instance_lo = 1")).collect()
-    assert [(r["node"], r["true_target"], r["false_target"], r["x"], r["y"]) for r in nodes] == [(0, 1, None, 0, 0), (1, None, 0, -1, 1)]
+    assert [(r["node"], r["true_target"], r["false_target"], r["x"], r["y"]) for r in nodes] == [(0, 1, None, 0, 0), (1, None, 0, 0, 1)]
     assert [(r["value"], r["description"]) for r in payload_tables.strings(df.where("instance_lo = 2")).collect()] == [("v", "d")]
     assert [(r["pos"], r["key"], r["u"], r["s"]) for r in payload_tables.bag_entries(df.where("instance_lo in (3, 4)")).collect()] == [(0, "a", 1, None), (1, "a", None, "x")]
 
@@ -259,6 +307,10 @@ def test_hot_keys(spark):
     plain = previous_owner(rows, ["k"], "file", ["file", "pos"])
     cut = previous_owner(rows, ["k"], "file", ["file", "pos"], hot_rows=100)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
+    # all rows of the hot key in one file: the first column of the order can't cut them
+    one = rows.withColumn("file", F.when(F.col("k") == -1, 5).otherwise(F.col("file")))
+    plain, cut = (previous_owner(one, ["k"], "file", ["file", "pos"], hot_rows=n) for n in (10**6, 100))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
     first = {r["k"]: (r["file"], r["pos"]) for r in first_match(rows, ["k"], ["file", "pos"]).collect()}
     best = {}
     for r in rows.collect():
@@ -308,7 +360,8 @@ def test_unpack_export_and_known(spark, tmp_path):
     assert [tuple(r) for r in rules.known_from_json(spark, text, "original string, new string").collect()] == [("a", "b")]
     names = spark.createDataFrame([(1, "red widget"), (2, "reward"), (3, "blue")], "id int, name string")
     assert fuzzy.best(names, "name", "rd wdg", "id").first()["id"] == 1 and fuzzy.best(names, "name", "zz", "id").count() == 0
-    assert fuzzy.match_score("x", "") == 0 and fuzzy.match_score(None, "x") is None
+    scores = names.select(fuzzy.match_score(F.col("name"), "").alias("all"), fuzzy.match_score(F.lit(None).cast("string"), "x").alias("none")).first()
+    assert scores["all"] == 0 and scores["none"] is None
 
 
 def test_kept_view(spark, tmp_path):

@@ -41,9 +41,8 @@ def test_against_sql(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def test_all_have_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
 
 
 def test_entry(spark):
