@@ -9,32 +9,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import bpe, decontamination, ngram_join, quality_classifier, toxicity
-from cairn.llm.common import shared_dir
 from cairn.llm.queries import WORD_BPE, table
+from cairn.tables import dropped, scratch, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier ranks below its threshold go."""
+    """Documents that the classifier ranks below its threshold go.
+
+    Every row is judged by its text alone: null and empty ones as texts without words; rows with a null id are judged, and
+    taught nothing. Without labels of both classes all stay.
+    """
     return quality_classifier.keep_good(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go.
+
+    Every row is judged by its whole text alone, null and empty ones as texts without words. Without labels of both classes all stay.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
+    """Of each class of near-duplicates the document with the smallest id stays.
+
+    Texts without words and rows with a null id stay; of rows that repeat an id those with one text count as one.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, row by row, whatever their ids; null and empty texts stay."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token ids, with its counts and digests."""
+    """Every document's token ids, with its counts and digests; null and empty texts have no tokens."""
     return bpe.encode(docs, WORD_BPE)
 
 
@@ -51,10 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each one's result is a table in the shared folder, and goes once the next one's is whole.
+
+    Null ids and texts, repeated rows and other columns are handled as each stage says; an empty table stays empty.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         at = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(at)
+        with scratch(spark, keep=[at]):
+            stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        dropped(spark, before)
+        before = [at]
     return STAGES[-1][1](spark, docs, sf_dir)
