@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.tables import shared_dir, written
+from cairn.tables import dropped, shared_dir, written
 
 __all__ = ["connected", "fold", "sampled", "shared_dir", "small", "written"]
 
@@ -48,11 +48,13 @@ def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFr
 
     Each round points every node at the smallest root seen among its neighbours and then at that
     root's own root, so that long chains shorten fast. A round shuffles ids only and is written to
-    the shared folder. Joins on a hub's id may be split by AQE; minima are combined before they shuffle.
+    the shared folder; what the rounds before wrote goes. Null edges count for nothing. Joins on a hub's id may be split by AQE; minima are combined before they shuffle.
     """
+    spark = edges.sparkSession
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = written(both.union(both.select("v", "u")).distinct())
-    roots = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("root")).select(F.col("u").alias("node"), "root"))
+    edges_at, roots_at = shared_dir(spark), shared_dir(spark)
+    both = written(both.union(both.select("v", "u")).distinct(), edges_at)
+    roots = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("root")).select(F.col("u").alias("node"), "root"), roots_at)
     for _ in range(most_rounds):
         seen = both.join(roots, F.col("v") == F.col("node")).select("u", "root")
         # a node's root also learns of the smaller roots that the node sees
@@ -60,9 +62,11 @@ def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFr
         told = told.where("root < own").select(F.explode(F.array("u", "own")).alias("node"), "root")
         low = roots.select("node", "root").union(told).groupBy("node").agg(F.min("root").alias("root"))
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        new = written(low.join(up, "root", "left").select("node", F.least("root", F.coalesce("upper", "root")).alias("root")))
+        new_at = shared_dir(spark)
+        new = written(low.join(up, "root", "left").select("node", F.least("root", F.coalesce("upper", "root")).alias("root")), new_at)
         changed = new.join(roots.select("node", F.col("root").alias("was")), "node").where("root <> was").limit(1).count()
-        roots = new
+        dropped(spark, [roots_at] if changed else [roots_at, edges_at])
+        roots, roots_at = new, new_at
         if not changed:
             return roots
     raise RuntimeError(f"components still change after {most_rounds} rounds")
