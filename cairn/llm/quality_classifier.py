@@ -125,10 +125,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Ranker
     """Learn from docs (doc_id, text) and labels (doc_id, quality 0/1), from about sample_rows labelled documents at most.
 
     Only the sample's measures reach the driver, never texts. The sample's ids and labels are broadcast:
-    sample_rows bounds them. Null labels don't count; of repeated labels the larger holds.
+    sample_rows bounds both. Null labels and ids don't count; of repeated labels the larger holds, and of rows that repeat an id
+    the text that sorts first; null texts are texts without words; other columns are ignored.
     """
-    some = sampled(labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.struct("doc_id", "quality").alias("doc_id"), "text")
+    some = sampled(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", sample_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.select(F.struct("doc_id", "quality").alias("doc_id"), "text")
     found = measured(rows).toPandas().sort_values("doc_id", key=lambda c: c.map(lambda r: r["doc_id"]), kind="stable")
     good = np.array([r["quality"] == 1 for r in found["doc_id"]], bool)
     return fit_pairs(found[list(MEASURES)].to_numpy(float).reshape(-1, len(MEASURES)), good)
@@ -151,7 +153,10 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
-    """The rows of docs, all columns, predicted good; only texts go to Python."""
+    """The rows of docs, all columns, predicted good; only texts go to Python.
+
+    Null and empty texts are judged by their measures, all 0; repeated rows and null ids row by row; texts are measured whole, one at a time.
+    """
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
