@@ -81,7 +81,7 @@ def inverse(spark, sf_dir):
 TURNED = """
 WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS a, embedding[5]::DOUBLE AS b FROM embeddings),
 v AS (SELECT *, x * cos(b) - y * sin(b) AS vx, x * sin(b) + y * cos(b) AS vz FROM e)
-SELECT vec_id, round(x * cos(a) - y * sin(a), 6) AS about_z, round(x * sin(a) + z * cos(a), 6) AS about_y, round(2 * x, 6) AS side, 0.5 AS depth,
+SELECT vec_id, round(x * cos(a) - y * sin(a), 6) AS about_z, round(x * sin(a) + z * cos(a), 6) AS about_y, round(2 * x, 6) AS side, 0.5::DOUBLE AS depth,
   round(x * cos(b) - (y + 3) * sin(b), 5) AS seen_x, round(sin(a) * (z + 2) + cos(a) * (x * sin(b) + (y + 3) * cos(b)) + 4, 5) AS seen_z
 FROM v
 """
@@ -121,7 +121,7 @@ def morphs(spark, sf_dir):
 
 SLOTS = """
 WITH k AS (SELECT p_brand, p_size % 4 AS slot, arg_max(p_partkey, p_partkey) AS keys FROM part WHERE p_size <= 20 GROUP BY ALL)
-SELECT p_partkey, keys, CASE WHEN keys = p_partkey THEN 1.5 ELSE 0 END AS delta FROM part JOIN k ON part.p_brand = k.p_brand AND (p_size % 16) // 4 = k.slot
+SELECT p_partkey, keys, CASE WHEN keys = p_partkey THEN 1.5 ELSE 0 END::DOUBLE AS delta FROM part JOIN k ON part.p_brand = k.p_brand AND (p_size % 16) // 4 = k.slot
 """
 
 

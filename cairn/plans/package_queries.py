@@ -17,7 +17,7 @@ TYPES = {0: 0x42484156, 1: 0x42434F4E, 2: 0x43545353, 3: 0x1C4A276C}
 PACKAGES = """
 WITH r AS (
   SELECT printf('%02d/%d.package', o_custkey % 7, o_custkey % 40) AS path, o_orderkey,
-    CASE o_orderkey % 4 WHEN 0 THEN 1112031574 WHEN 1 THEN 1111707470 WHEN 2 THEN 1129599827 ELSE 474621804 END AS type_id,
+    CASE o_orderkey % 4 WHEN 0 THEN 1112031574 WHEN 1 THEN 1111707470 WHEN 2 THEN 1129599827 ELSE 474621804 END::BIGINT AS type_id,
     CASE WHEN o_orderkey % 11 = 0 THEN 4294967295 ELSE o_custkey % 3 END AS group_id, o_orderkey % 997 AS instance_lo
   FROM orders
 ), c AS (

@@ -87,7 +87,7 @@ def mutual(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", parts.alias("parts"), outfit.alias("outfit"), reference.alias("reference"))
 
 
-@query("v_text_sets", "SELECT conv_id, language, pos, value FROM (SELECT conv_id, 1 AS language, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value FROM (SELECT conv_id, list(md5(text) ORDER BY turn, role, text) AS v FROM conversations GROUP BY conv_id))")
+@query("v_text_sets", "SELECT conv_id, language, pos, value FROM (SELECT conv_id, 1 AS language, (generate_subscripts(v, 1) - 1)::INT AS pos, unnest(v) AS value FROM (SELECT conv_id, list(md5(text) ORDER BY turn, role, text) AS v FROM conversations GROUP BY conv_id))")
 def text_sets(spark, sf_dir):
     sets = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("v"))
     return sets.select("conv_id", F.lit(1).alias("language"), F.posexplode(F.transform("v", lambda x: F.md5(x["text"]))).alias("pos", "value"))
