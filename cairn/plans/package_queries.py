@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import reports
-from cairn.operators import conflicts, package_conflicts
+from cairn.operators import conflicts, package_conflicts, package_textures, rules
 from cairn.plans.registry import query, table
-from cairn.sources import archives, datasource, layout, resource_types, sinks
+from cairn.sources import archives, datasource, layout, payloads, resource_types, sinks
 from cairn.tables import shared_dir
 
 #: Types of the packages' resources: three that can conflict, one of them hidden at first, and a texture.
@@ -85,3 +85,61 @@ def relevant(spark, sf_dir) -> DataFrame:
     """The same filter over rows that were scanned without it."""
     parsed = archives.scan(archives.files(spark, [order_packages(spark, sf_dir)]))
     return conflicts.relevant(archives.resources(parsed)).select(short("path"), "type_id", "group_id", "instance_lo")
+
+
+def number(c) -> Column:
+    """Four bytes of a number, the lowest first."""
+    return F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(c, 8 * i).bitwiseAND(255)), 2, "0")) for i in range(4)))
+
+
+def word(text: str) -> Column:
+    return F.unhex(F.lit((bytes([len(text)]) + text.encode()).hex()))
+
+
+def texture_payload(width, height, code, levels) -> Column:
+    """A collection with one texture, without its pixels, as a version 9 block begins."""
+    plain = lambda *n: F.concat(*(number(F.lit(x)) for x in n))
+    head = F.concat(F.unhex(F.lit(payloads.VERSIONED.to_bytes(4, "little").hex())), plain(0, 1, payloads.TEXTURE), word("e"), plain(payloads.TEXTURE, 9))
+    name = F.concat(word("cSGResource"), plain(0, 2), word("n"))
+    return F.concat(head, name, number(width), number(height), number(code), plain(0, 0, 1, 0), word("n"), number(levels))
+
+
+TEXTURES = """
+WITH f AS (
+  SELECT p_partkey, printf('t%d/%d.package', p_partkey % 3, p_partkey % 20) AS path, p_size * 8 AS width, p_size * 4 AS height, p_partkey % 4 AS mip_levels, ['DXT1', 'RawARGB32', 'Grayscale'][1 + p_size % 3] AS format
+  FROM part WHERE p_partkey % 7 <> 0
+), levels AS (
+  SELECT f.*, greatest(width >> i, 1) AS w, greatest(height >> i, 1) AS h FROM f, (SELECT unnest(range(0, 3))::INT AS i) WHERE i < mip_levels
+), t AS (
+  SELECT f.*, coalesce(m, 0)::BIGINT AS memory_size FROM f LEFT JOIN (
+    SELECT p_partkey, sum(CASE format WHEN 'DXT1' THEN ((w + 3) // 4) * ((h + 3) // 4) * 8 WHEN 'Grayscale' THEN w * h ELSE w * h * 4 END) AS m FROM levels GROUP BY p_partkey) USING (p_partkey)
+)
+SELECT path, p_partkey AS instance_lo, width, height, format, mip_levels, memory_size,
+  row_number() OVER (ORDER BY memory_size DESC, string_split(path, '/'), p_partkey)::BIGINT AS position
+FROM t WHERE width > 80 AND mip_levels > 0 AND p_partkey % 5 <> 0
+"""
+
+
+@query("x_find_textures", TEXTURES.replace("string_split(path, '/')", "path"))
+def find_textures(spark, sf_dir) -> DataFrame:
+    """Textures of parts in packages, wide ones with pixels, without those on a known list, the largest first."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    code = F.element_at(F.array(*(F.lit(payloads.TEXTURE_FORMATS.index(f) + 1) for f in ("DXT1", "RawARGB32", "Grayscale"))), 1 + size % 3)
+    data = F.when(key % 7 == 0, F.lit("broken").cast("binary")).otherwise(texture_payload(size * 8, size * 4, code, (key % 4).cast("int")))
+    rows = table(spark, sf_dir, "part").select(
+        F.format_string("t%d/%d.package", key % 3, key % 20).alias("path"),
+        key.cast("long").alias("index_pos"),
+        F.lit(payloads.TEXTURE).cast("long").alias("type_id"),
+        F.lit(1).cast("long").alias("group_id"),
+        F.lit(0).cast("long").alias("instance_hi"),
+        key.cast("long").alias("instance_lo"),
+        data.alias("data"),
+        F.lit(layout.RAW).alias("compression"),
+        F.length(data).cast("long").alias("decompressed_size"),
+    )
+    at = shared_dir(spark)
+    sinks.saved(sinks.built(rows), at).count()
+    known = rows.where("instance_lo % 5 = 0").select("type_id", "instance_lo")
+    filters = [{"field": "width", "op": ">", "value": 80}, {"field": "mip_levels", "op": ">", "value": 0}]
+    found = package_textures.find_textures(spark, [at], filters, known, rules.SortSpec().front("memory_size"))
+    return found.select(short("path"), "instance_lo", "width", "height", "format", "mip_levels", "memory_size", "position")

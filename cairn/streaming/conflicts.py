@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cairn.operators.conflicts import positions
 from cairn.sources import archives
 
 
@@ -38,6 +39,11 @@ def previous_owner_stream(rows: DataFrame, keys: Sequence[str], file: str, order
     return rows.groupBy(*keys).applyInPandasWithState(owned, out, f"last {kinds[file].simpleString()}", "append", GroupStateTimeout.NoTimeout)
 
 
+def ordered_view(spark: SparkSession, table: str, order: Sequence[Column | str]) -> DataFrame:
+    """All that kept_view has kept so far, with `position` in an order: rows that came late stand where they belong."""
+    return positions(spark.read.parquet(table), order, "position")
+
+
 def kept_view(found: DataFrame, table: str, shown: Callable[[DataFrame], DataFrame], checkpoint: str):
     """Start a query that appends each batch's facts, filtered, to a table; a batch that is run again replaces its own rows.
 

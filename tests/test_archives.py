@@ -365,10 +365,15 @@ def test_unpack_export_and_known(spark, tmp_path):
 
 
 def test_kept_view(spark, tmp_path):
-    from cairn.streaming.conflicts import kept_view
+    from cairn.streaming.conflicts import kept_view, ordered_view
 
     facts_dir = tmp_path / "facts"
     spark.range(10).write.parquet(f"file://{facts_dir}")
     stream = spark.readStream.schema("id long").parquet(f"file://{facts_dir}")
     kept_view(stream, f"file://{tmp_path}/view", lambda df: df.where("id > 6"), f"file://{tmp_path}/cp").awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(f"file://{tmp_path}/view").collect()) == [7, 8, 9]
+    # facts that come later, in the order of all
+    spark.createDataFrame([(100,), (8,), (-1,)], "id long").write.mode("append").parquet(f"file://{facts_dir}")
+    kept_view(stream, f"file://{tmp_path}/view", lambda df: df.where("id > 6"), f"file://{tmp_path}/cp").awaitTermination()
+    got = ordered_view(spark, f"file://{tmp_path}/view", [F.desc("id")]).orderBy("position").collect()
+    assert [(r["position"], r["id"]) for r in got] == [(1, 100), (2, 9), (3, 8), (4, 8), (5, 7)]
