@@ -40,10 +40,14 @@ SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"
 GROUPS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "td": ("table",), "th": ("table",)}
 #: Names in class or id that mark what isn't an article, names that may stand beside them in a hyphenated one, and roles.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 BESIDE = frozenset("a article articles banner bar block bottom box buttons container content form global header inner item items left link links list main news outer page panel post posts primary right secondary section site slot top unit wrap wrapper".split())
+#: Names in class or id of an element that holds an article as a whole.
+HOLDING = frozenset("article article-body article-content articlebody content entry entry-content hentry main main-content page-content post post-body post-content story story-body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Stands for elements that hold an article among the names of open elements.
+HELD = "#"
 #: Most characters that a surge asks for, and its share of the window sum that half of a page's text reaches.
 SURGE_CHARS, SURGE_SHARE = 100, 0.25
 
@@ -58,7 +62,7 @@ _END_OF = {name: regex.compile(rf"</{name}(?=[\s/>])", regex.I) for name in RAW}
 @dataclass
 class Line:
     """One block's text. weight: its characters outside of links; off: in an element that holds no article; inside: in an
-    article element. tag: the element that holds it ("" for text beside elements); parent: the element that this is
+    article element. article: the innermost one of these, or one whose name says that it holds an article, or 0. tag: the element that holds it ("" for text beside elements); parent: the element that this is
     in, for an entry that of its list or table; gap: containers that begin or end between it and the line before; shared: the
     innermost element that holds both of these, and at which depth."""
 
@@ -66,12 +70,18 @@ class Line:
     weight: int
     off: bool
     inside: bool
+    article: int
     tag: str
     parent: int
     gap: int
     shared: tuple[int, int]
 
 
+def holding(attributes: str) -> bool:
+    """Whether class or id say that an element holds an article."""
+    return "=" in attributes and any(m[1].lower() != "role" and HOLDING.intersection((m[2] or m[3] or m[4] or "").lower().split()) for m in _MARK.finditer(attributes))
+
+
 def marked(attributes: str) -> bool:
     """Whether class, id or role say that an element is no article.
 
@@ -143,7 +153,7 @@ class Tree:
     def last(self, *names: str) -> int:
         return max((self.at[n][-1] for n in names if self.at[n]), default=-1)
 
-    def push(self, name: str, drops: bool) -> None:
+    def push(self, name: str, drops: bool, holds: bool = False) -> None:
         # only blocks have numbers of their own
         number = self.open[-1][1] if self.open else 0
         if name in BLOCKS:
@@ -152,6 +162,8 @@ class Tree:
             number = len(self.parents) - 1
             self.gap += name in CONTAINERS
         self.at[name].append(len(self.open))
+        if holds:
+            self.at[HELD].append(len(self.open))
         self.open.append((name, number, drops))
         self.off += drops
 
@@ -159,6 +171,8 @@ class Tree:
         while len(self.open) > size:
             name, _, drops = self.open.pop()
             self.at[name].pop()
+            if self.at[HELD] and self.at[HELD][-1] == len(self.open):
+                self.at[HELD].pop()
             self.off -= drops
             self.gap += name in CONTAINERS
         self.low = min(self.low, size)
@@ -204,7 +218,9 @@ def lines(page: str) -> tuple[list[Line], list[int], list[str]]:
             else:
                 tag, parent = "", own
             low = min(tree.low, len(tree.open))
-            out.append(Line(text, 0 if off else weight, off, tree.last("article", "main") >= 0, tag, parent, tree.gap, (low, tree.number(low - 1))))
+            inside = tree.last("article", "main")
+            article = tree.number(max(inside, tree.last(HELD)))
+            out.append(Line(text, 0 if off else weight, off, inside >= 0, article, tag, parent, tree.gap, (low, tree.number(low - 1))))
             tree.low, tree.gap = len(tree.open), 0
         held.clear()
 
@@ -228,7 +244,7 @@ def lines(page: str) -> tuple[list[Line], list[int], list[str]]:
             drops = name in DROPPED or name in BOILERPLATE or (name == "header" and tree.last("article", "main") < 0) or (name not in ("html", "body", "main") and marked(attributes))
             if drops and name not in BLOCKS:
                 end()
-            tree.push(name, drops)
+            tree.push(name, drops, name in CONTAINERS and name not in ("html", "body") and holding(attributes))
     held.append((page[at:], bool(tree.at["a"])))
     end()
     return out, tree.parents, tree.names
@@ -264,7 +280,8 @@ def main_text(page: str | None, window: int = 3) -> str:
     """The article's blocks in order, joined by newlines: lines between a surge of text and its dive, and with them
     lines with text outside of links, and headings, that stand in an element which holds such lines.
 
-    That is the one that a line stands in, or the innermost that two lines in a row share. In it count paragraphs,
+    That is the one that a line stands in, the innermost that two lines in a row share, or an article element or one named as holding
+    an article around a line. In it count paragraphs,
     headings, entries and cells at any depth, and elements of the kind found; directly in `body`, paragraphs and headings
     only. If no line has text outside of links, links count as text.
     """
@@ -292,7 +309,7 @@ def main_text(page: str | None, window: int = 3) -> str:
 def completed(found: list[Line], core: list[bool], open_to: list[bool], weights: list[int], parents: list[int], names: list[str]) -> list[bool]:
     """The lines of `core`, and those that main_text() keeps with them."""
     kinds = {(x.tag, x.parent) for x, ok in zip(found, core) if ok}
-    holders = {parent for _, parent in kinds}
+    holders = {parent for _, parent in kinds} | {x.article for x, ok in zip(found, core) if ok and x.article}
     shared, begun = None, False
     for x, ok in zip(found, core):
         shared = x.shared if shared is None else min(shared, x.shared)

@@ -353,6 +353,13 @@ def test_short_lines_of_the_article():
     assert html_text.main_text(f"<body><div>{rows}</div><div>Rights</div>") == f"{LONG}\nshort\n{LONG}"
 
 
+@pytest.mark.parametrize("element", ["article", 'div id="content"', 'div class="wide entry-content"'])
+def test_short_sections(element):
+    """A section of short lines belongs to the article around it; what stands beside the article doesn't."""
+    page = f"<body><div><p>My site</p></div><{element}><section><h2>A</h2><p>{LONG}</section><section><h2>B</h2><p>Short.<div>Share</div></section></{element.split()[0]}><div><p>Rights</p></div>"
+    assert html_text.main_text(page) == f"A\n{LONG}\nB\nShort."
+
+
 def test_boilerplate_inside_the_article():
     """Entries that are nothing but links are no text, unless text surges around them."""
     page = f"<article><h1><a>T</a></h1><p>{LONG}<ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><p>{LONG}<p>End.<div><a>Share</a></div><div><a>Tweet</a></div></article>"
