@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.tables import dropped, shared_dir, written
 
-__all__ = ["connected", "fold", "sampled", "shared_dir", "small", "written"]
+__all__ = ["connected", "fold", "sampled", "scored", "shared_dir", "small", "written"]
 
 
 #: Bytes of text that a task takes from an Arrow batch at once, about: one text may hold more.
@@ -30,6 +30,20 @@ def small(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int
             low = high
 
 
+def scored(f: Callable[[], Callable[[list[str | None]], np.ndarray]]) -> Callable[[Column], Column]:
+    """A column of numbers that a function makes of texts, in slices of bounded size; f() is called once in each task and gives that function."""
+
+    @F.arrow_udf("double")
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = f()
+        for array in arrays:
+            batch = pa.RecordBatch.from_arrays([array], ["text"])
+            parts = [score(part.column(0).to_pylist()) for part in small(iter([batch]))]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
+
+    return run
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null ids fall in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))

@@ -7,12 +7,11 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import sampled, small
+from cairn.llm.common import sampled, scored, small
 
 #: The score at which a document is predicted to be good.
 CUT = 0.7
@@ -158,9 +157,7 @@ def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
     Null and empty texts are judged by their measures, all 0; repeated rows and null ids row by row; texts are measured whole, one at a time.
     """
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
-            yield pd.Series(ranker.scores(np.array([features(x) for x in t], float).reshape(-1, len(MEASURES))))
+    def begin():
+        return lambda texts: ranker.scores(np.array([features(x) for x in texts], float).reshape(-1, len(MEASURES)))
 
-    return docs.where(scored(docs["text"]) >= CUT)
+    return docs.where(scored(begin)(docs["text"]) >= CUT)
