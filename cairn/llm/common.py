@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.tables import dropped, shared_dir, written
 
-__all__ = ["connected", "fold", "sampled", "scored", "shared_dir", "small", "written"]
+__all__ = ["connected", "fold", "matched", "sampled", "scored", "shared_dir", "small", "written"]
 
 
 #: Bytes of text that a task takes from an Arrow batch at once, about: one text may hold more.
@@ -44,6 +44,16 @@ def scored(f: Callable[[], Callable[[list[str | None]], np.ndarray]]) -> Callabl
     return run
 
 
+#: Bytes of a table that is sent to every task, at most, as text and with 32 for each row.
+SENT_BYTES = 50_000_000
+
+
+def matched(rows: DataFrame, keys: DataFrame, on: Column | list[Column], how: str, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """rows joined with a written table of keys, by left_anti or left_semi: sent to every task if its size allows, so that rows aren't shuffled."""
+    size = keys.agg(F.sum(F.lit(32) + sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in keys.columns), F.lit(0)))).first()[0]
+    return rows.join(F.broadcast(keys) if (size or 0) <= sent_bytes else keys, on, how)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null ids fall in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))

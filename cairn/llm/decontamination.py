@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small, written
+from cairn.llm.common import matched, small, written
 
 WINDOW = 10
 #: Bytes of text in a shard and of items in a block, about: one text or item may hold more. Terms of all items that are sent
@@ -318,6 +318,6 @@ def clean(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     sums = F.xxhash64("text").alias("text_hash"), F.crc32(F.col("text").cast("binary")).alias("text_sum"), F.octet_length("text").alias("n_bytes")
     rows = docs.where("text is not null").select(F.struct("doc_id", *sums).alias("doc_id"), "text")
     hit = contamination(rows, items, **parameters).where("contaminated").select("doc_id.*").distinct()
-    hit = hit.toDF(*(f"_hit_{c}" for c in told))
+    hit = written(hit.toDF(*(f"_hit_{c}" for c in told)))
     same = [F.col("doc_id").eqNullSafe(F.col("_hit_doc_id")), sums[0] == F.col("_hit_text_hash"), sums[1] == F.col("_hit_text_sum"), sums[2] == F.col("_hit_n_bytes")]
-    return docs.join(hit, same, "left_anti")
+    return matched(docs, hit, same, "left_anti")

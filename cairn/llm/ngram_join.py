@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from cairn.llm.common import connected, small, written
+from cairn.llm.common import connected, matched, small, written
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Nodes and bytes of n-grams that a block of a candidate group holds, about, and blocks of a group beyond which they grow: the
@@ -200,7 +200,11 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs, all columns, that keep one document of each class: the one with the smallest id.
 
     Rows that repeat a kept id stay if their texts differ; of those with equal texts one stays, whichever. Rows with a null id stay.
+    Texts are shuffled only where an id repeats, as long as the ids that go and those that repeat are few enough to be sent to every task.
     """
-    firsts = near_duplicates(docs, **parameters).where("class_id = doc_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.where("doc_id is not null").join(firsts, F.col("doc_id") == F.col("_first"), "left_semi")
-    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    others = written(near_duplicates(docs, **parameters).where("class_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct())
+    again = written(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")))
+    firsts = matched(named, others, F.col("doc_id") == F.col("_other"), "left_anti")
+    once, more = (matched(firsts, again, F.col("doc_id") == F.col("_again"), how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"])).unionByName(docs.where("doc_id is null"))
