@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ SLICE_BYTES = 4_000_000
 
 def small(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices, without a copy, of about most_bytes of text, so that what a task makes of a slice is bounded."""
+    batch = None
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         low = 0
@@ -28,6 +30,10 @@ def small(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int
             high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most_bytes, side="right")))
             yield batch.slice(low, high - low)
             low = high
+    # workers go on to other tasks: what earlier ones' objects still hold among themselves goes now
+    batch = None
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def scored(f: Callable[[], Callable[[list[str | None]], np.ndarray]]) -> Callable[[Column], Column]:
