@@ -13,12 +13,24 @@ from cairn.llm.queries import WORD_BPE, table
 from cairn.tables import dropped, scratch, shared_dir
 
 
+#: Bytes of an Arrow batch. Stages follow each other in one session, whose executors keep the most that any stage took.
+BATCH_BYTES = 2_000_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_BYTES where they have Spark's default of 64 MB; operators set nothing themselves."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(name)).rstrip("b") == str(64 * 2**20):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier ranks below its threshold go.
 
     Every row is judged by its text alone: null and empty ones as texts without words; rows with a null id are judged, and
     taught nothing. Without labels of both classes all stay.
     """
+    bounded(spark)
     return quality_classifier.keep_good(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -27,6 +39,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row is judged by its whole text alone, null and empty ones as texts without words. Without labels of both classes all stay.
     """
+    bounded(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -35,16 +48,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words and rows with a null id stay; of rows that repeat an id those with one text count as one.
     """
+    bounded(spark)
     return ngram_join.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go, row by row, whatever their ids; null and empty texts stay."""
+    bounded(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids, with its counts and digests; null and empty texts have no tokens."""
+    bounded(spark)
     return bpe.encode(docs, WORD_BPE)
 
 
